@@ -90,11 +90,11 @@ def format_value(query: Column, value: Column) -> Column:
     is_bytes = query.contains("heap") | query.contains("memory")
     return (
         F.when(value.isNull(), "—")
-        .when(is_bytes, F.format_string("%.0f MB", value / 1024 / 1024))
-        .when(value < 0.01, F.format_string("%.4f", value))
-        .when(value < 1, F.format_string("%.3f", value))
-        .when(value > 1000, F.format_string("%.0f", value))
-        .otherwise(F.format_string("%.2f", value))
+        .when(is_bytes, F.format_string("%.0f MB", fixed(value / 1024 / 1024, 0)))
+        .when(value < 0.01, F.format_string("%.4f", fixed(value, 4)))
+        .when(value < 1, F.format_string("%.3f", fixed(value, 3)))
+        .when(value > 1000, F.format_string("%.0f", fixed(value, 0)))
+        .otherwise(F.format_string("%.2f", fixed(value, 2)))
     )
 
 
@@ -103,7 +103,7 @@ def title_label(label: Column) -> Column:
 
 
 def percent_text(p: Column) -> Column:
-    return F.format_string("%.0f%%", p * 100)
+    return F.format_string("%.0f%%", fixed(p * 100, 0))
 
 
 def from_epoch_ns(text: Column) -> Column:

@@ -59,7 +59,8 @@ def trend_records(stats: DataFrame, description: Column, range_window: str, step
     capped = stats.withColumn("_r", rank).filter(F.col("_r") <= MAX_SERIES_PER_QUERY)
     sizes = stats.groupBy("timestamp", "query_name").agg(F.count(F.lit(1)).cast("int").alias("series_count"))
     grouped = capped.groupBy("timestamp", "query_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", one.alias("s")))), lambda x: x["s"]).alias("series"))
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", one.alias("s"))), lambda a, b: a["_r"] - b["_r"]),
+                    lambda x: x["s"]).alias("series"))
     return grouped.join(sizes, ["timestamp", "query_name"]).select(
         "timestamp", "query_name", description.alias("description"), F.lit(range_window).alias("range_window"),
         F.lit(step).alias("step"), "series_count", F.struct("series").alias("analysis"))
