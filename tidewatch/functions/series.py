@@ -108,3 +108,20 @@ def row_frames(
     )
     w = Window.partitionBy(*keys, "_chunk").orderBy(idx).rowsBetween(-rows_before, rows_after)
     return halo, w, "_own"
+
+
+def with_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, value: str | Column, name: str, seconds: int | None = None,
+) -> DataFrame:
+    """Add the last non-null ``value`` of the series up to and including each row."""
+    keys = list(keys)
+    v = F.col(value) if isinstance(value, str) else value
+    blocked = df.withColumn("_v", v).withColumn("_block", block_of(df, ts, seconds))
+    at = F.struct(*[F.col(c) for c in order])
+    tails = blocked.filter(F.col("_v").isNotNull()).groupBy(*keys, "_block").agg(F.max_by("_v", at).alias("_tail"))
+    blocks = blocked.select(*keys, "_block").distinct().join(tails, [*keys, "_block"], "left")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, "_block", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = blocked.withColumn("_here", F.last("_v", ignorenulls=True).over(local)).join(carried, [*keys, "_block"])
+    return out.withColumn(name, F.coalesce("_here", "_carry")).drop("_v", "_block", "_here", "_carry")
