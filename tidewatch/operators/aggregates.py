@@ -66,7 +66,8 @@ def anomaly_severities(analyses: DataFrame) -> DataFrame:
 
 def recommendation_priorities(analyses: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in PRIORITIES for x in kv])
-    pri = analyses.select(F.try_element_at(names, F.explode("recommendations.priority")).alias("priority")).filter(F.col("priority").isNotNull())
+    pri = analyses.select(F.explode("recommendations.priority").alias("p")).select(
+        F.try_element_at(names, F.col("p")).alias("priority")).filter(F.col("priority").isNotNull())
     return pri.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 
