@@ -300,9 +300,10 @@ def str_late_data(spark, sf):
     out = run_dir(spark, "late-data")
     rows = e.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("severity"),
                     F.when(late, 2).when(first_half, 0).otherwise(1).alias("part"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))       # every part is that many files, i.e. one batch
     for part in range(3):
-        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = I.file_stream(spark, f"{out}/in", rows.drop("part").schema, "parquet", files_per_trigger=1)
+        rows.filter(F.col("part") == part).drop("part").repartition(files).write.mode("append").parquet(f"{out}/in")
+    stream = I.file_stream(spark, f"{out}/in", rows.drop("part").schema, "parquet", files_per_trigger=files)
     I.start_files(tumbling_severity(stream, watermark=D.WATERMARKS["logs"]), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("window_start timestamp, severity string, n bigint").parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
