@@ -96,7 +96,7 @@ def main() -> int:
             else:
                 msg = f"ok rows-only {df.count()}"
         except Exception as e:  # report and go on
-            msg = f"FAILED {type(e).__name__}: {str(e)[:400]}"
+            msg = f"FAILED {type(e).__name__}: {str(e)[-700:]}"
         if not msg.startswith("ok"):
             failed.append(name)
         print(f"{time.time() - t:6.2f}s {name}: {msg}", flush=True)

@@ -44,15 +44,16 @@ def block_of(df: DataFrame, ts: str, seconds: int | None = None) -> Column:
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str,
-    pos: str = "idx", total: str | None = None, seconds: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str | None,
+    pos: str = "idx", total: str | None = None, seconds: int | None = None, block: Column | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series (and, if asked, the series length).
 
-    ``order[0]`` must be the time column ``ts``; further order columns break ties.
+    ``order[0]`` must be the time column ``ts``; further order columns break ties. Where the order is not by time,
+    pass ``block``: any integer column that never decreases along the order.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block_of(df, ts, seconds))
+    blocked = df.withColumn("_block", block_of(df, ts, seconds) if block is None else block)
     sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
