@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.constants import CAPACITY_THRESHOLDS, FEATURES, FORECAST_MEMBERS, HORIZON, WINDOW_ROWS
 from tidewatch.operators.windows import Scaler
+from tidewatch.session import cut
 
 
 @dataclass
@@ -54,12 +55,24 @@ class RidgeForecaster:
         partial = flat.mapInPandas(gram, "fold int, g binary").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
         # tree sum: at most 1/64 of the tasks' matrices in a first group, 64 in a second
         folds = partial.groupBy("fold", "part").applyInPandas(lambda d: add(d), "fold int, g binary").groupBy("fold").applyInPandas(lambda d: add(d), "fold int, g binary")
-        grams = {r["fold"]: np.frombuffer(r["g"]).reshape(p, p + q) for r in folds.toLocalIterator()}
-        total = sum(grams.values())
-        penalty = self.alpha * np.eye(p)
-        penalty[0, 0] = 0.0
-        self.weights = np.stack([
-            np.linalg.solve(g[:, :p] + penalty, g[:, p:]) for g in (total - grams[f] if f in grams else total for f in range(m))])
+        folds = cut(folds)
+        total = np.zeros((p, p + q))
+        for row in folds.toLocalIterator():         # one fixed-size matrix per fold
+            total += np.frombuffer(row["g"]).reshape(p, p + q)
+        shared = flat.sparkSession.sparkContext.broadcast(total)
+        penalty = np.full(p, self.alpha)
+        penalty[0] = 0.0
+
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for fold_id, g in zip(b.fold, b.g):
+                    mine = shared.value - (np.frombuffer(g).reshape(p, p + q) if g is not None else 0.0)
+                    w = np.linalg.solve(mine[:, :p] + np.diag(penalty), mine[:, p:])
+                    yield pd.DataFrame({"fold": [fold_id], "w": [w.tobytes()]})
+
+        members = flat.sparkSession.range(0, m, 1, min(m, 8)).select(F.col("id").cast("int").alias("fold")).join(folds, "fold", "left")
+        solved = {r["fold"]: np.frombuffer(r["w"]).reshape(p, q) for r in members.mapInPandas(solve, "fold int, w binary").toLocalIterator()}
+        self.weights = np.stack([solved[f] for f in range(m)])
         return self
 
     def predict(self, latest: DataFrame, keys: Sequence[str], rows: str = "rows") -> DataFrame:

@@ -146,7 +146,7 @@ def nearest_same_class(rows: DataFrame, ident: str, k: int = 5, label: str = "y"
 
     def visit(q: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(points):
-            return pd.DataFrame({"id": [], "y": [], "best": []})
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("id", object), ("y", "int32"), ("best", object))})
         return pd.DataFrame({"id": q.id.values, "y": q.y.values, "best": find(q, points)})
 
     more = asks.groupBy("y", "c", "s").cogroup(pts.groupBy("y", "c", "s")).applyInPandas(visit, "id string, y int, best array<struct<d:double,id:string,x:array<double>>>")
