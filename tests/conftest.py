@@ -11,5 +11,5 @@ def spark(tmp_path_factory):
     from tidewatch.session import build_session
     s = build_session("tests", cores="8", shuffle_partitions=4)
     if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield s

@@ -1,7 +1,6 @@
 """Session helpers: shared folder, lineage cuts and size-checked broadcasts."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,18 +24,12 @@ def build_session(app: str = "tidewatch", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: the session's ``spark.checkpoint.dir``.
-
-    Only a local master without that setting falls back to a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder that every executor can reach: the session's ``spark.checkpoint.dir``, else the context's own checkpoint folder."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return configured.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
