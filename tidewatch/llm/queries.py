@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.catalog import query, table
 from tidewatch.llm.jaccard import similar_documents
+from tidewatch.llm.mixture import mix_sources
+from tidewatch.llm.pii import BASE, with_spans
+from tidewatch.llm.relative_lz import remove_repeats
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -20,3 +23,47 @@ WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
   SELECT sizes.doc_id, n AS n_shingles, min(b) AS component_id FROM sizes JOIN reach ON a = doc_id GROUP BY 1, 2""")
 def op2(spark, sf):
     return similar_documents(table(spark, sf, "documents"))
+
+
+@query("op3_mix_sources", r"""
+  WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                    ('0x' || md5('0:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS place FROM documents),
+  p AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+        FROM d GROUP BY source),
+  l AS (SELECT *, source_size * 2.0::DOUBLE AS lim FROM p),
+  v AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+               / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
+  t AS (SELECT source, source_size, CASE WHEN level * weight >= lim THEN lim
+               ELSE weight * max(level) FILTER (level * weight < lim) OVER () END AS target FROM v),
+  r AS (SELECT doc_id, size, d.source, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, place, doc_id) AS rank,
+               CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+               ('0x' || md5('0/' || coalesce(d.source, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS off
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT doc_id, size, source_size, target, (floor(off + rate * rank) - floor(off + rate * (rank - 1)))::BIGINT * size AS taken FROM r""")
+def op3(spark, sf):
+    return mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_pii")
+def op8(spark, sf):
+    found = with_spans(table(spark, sf, "documents"))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    names = [k.name for k in BASE]
+    count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long").alias(f"n_{n}")
+    return found.select("doc_id", *[count(n) for n in names], F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(names))), 256).alias("base_sha256"),
+                        listed("spans").alias("spans"))
+
+
+@query("op4_substring_dedup", r"""
+  WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+  d AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS lo FROM s) WHERE doc_id > lo),
+  c AS (SELECT DISTINCT doc_id, i + k AS i FROM d, range(50) r(k)),
+  a AS (SELECT doc_id, list_transform(w, lambda x, j: [x, j::VARCHAR]) AS w FROM w),
+  f AS (SELECT doc_id, unnest(w) AS x FROM a),
+  k AS (SELECT f.doc_id, string_agg(x[1], ' ' ORDER BY x[2]::BIGINT) AS kept, count(*) AS n FROM f LEFT JOIN c ON c.doc_id = f.doc_id AND c.i = x[2]::BIGINT WHERE c.i IS NULL GROUP BY 1)
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN k ON k.doc_id = w.doc_id""")
+def op4(spark, sf):
+    kept = remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
