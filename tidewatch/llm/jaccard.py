@@ -6,10 +6,14 @@ more or less), and the sum of l(i) + 1 exceeds the possible number of difference
 ``_plan`` sets, for each band, how many segments there are and how many of them allow one difference, at the least cost of signatures and
 chance meetings; ``_probes`` drops from each document the segments it can spare, those with the fewest shingles first, as they meet most.
 
-Signatures are grouped by key. Each member is first linked with the smallest document of its group and the link verified; members of the
-components found that way need no further comparison. Only groups that hold several components are joined with themselves, across
-components and within the size bounds; all such pairs are verified. Components are therefore exact, and a group of copies never turns into
-all of its pairs.
+Signatures are grouped by key. The member of a key's group that meets most others over all keys is its center, so that the copies of a text
+have few centers between them. Each document is first compared with the center that it meets most often; members of the components found
+that way need no further comparison. A center's members are then all that share a key of which it is the center, which covers every pair that
+meets. Where they belong to several components, those outside the largest one are compared with all others in blocks of bounded size. That
+comparison uses parity sketches: a set of n shingles has 4n to 8n bits, each the parity of the shingles that hash to it, so two sketches differ
+in no more bits than the sets do in shingles, and pairs that differ too much are certain not to be similar. The others are verified by their
+texts: first the nearest pair of each document and component, then, where these do not join, every pair left. Components are exact, and a
+group of copies never turns into its pairs.
 """
 from __future__ import annotations
 
@@ -19,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.llm.graph import components
@@ -31,6 +36,8 @@ INDEX, INDEX_LESS, PROBE, PROBE_LESS = 1, 2, 4, 8
 BAND = 1.6
 #: Assumed chance that two documents which are not similar agree in one shingle of a segment; only costs depend on it.
 AGREE = 0.125
+#: Members or probes of one center that are compared in one task.
+BLOCK = 2000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -57,20 +64,64 @@ def _profile(width: int):
                 np.cumsum(mix(values, 11 + k), out=totals[k, 1:])
             marks = totals[:, ends[1:]] - totals[:, ends[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.diff(ends)), *(pa.array(as_long(m)) for m in marks)], names=["doc_id", "n_shingles", "f1", "f2"])
+                [pa.array(ids, pa.int64()), pa.array(np.diff(ends)), *(pa.array(as_long(m)) for m in marks), pa.array(map(_sketch, sets), pa.binary())],
+                names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
     return run
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles that hash to each of 4n to 8n bits."""
+    bits = 64 << max(0, (4 * len(s) - 1) // 64).bit_length()
+    return np.packbits(np.bincount((mix(s, 41) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer bits: the parities of bits that fall together add up."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _near(size: int, sketch: np.ndarray, sizes: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray]], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, differing bits) of the sets that may be similar to one set; ``sketches`` holds rows and matrix by sketch length."""
+    for words, (rows, matrix) in sketches.items():
+        fit = (sizes[rows] * 100 >= size * percent) & (size * 100 >= sizes[rows] * percent)
+        rows = rows[fit]
+        if len(rows):
+            low = min(words, len(sketch))
+            apart = np.bitwise_count(_fold(matrix[fit], low) ^ _fold(sketch[None, :], low)).sum(axis=1, dtype=np.int64)
+            total = sizes[rows] + size
+            ok = 100 * (total - apart) >= percent * (total + apart)
+            yield rows[ok], apart[ok]
+
+
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum([0, *map(len, sets)], dtype=np.int64), np.concatenate([*sets, np.empty(0, np.uint64)])
 
 
-def _values(width: int):
+def _compare(width: int, percent: int):
+    """The pairs that are similar enough, from rows (a, b, text of a, text of b); the set of a is kept while rows share it."""
     def run(batches):
-        for ids, sets in _sets(batches, width):
-            ends, values = _flat(sets)
-            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(as_long(values))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "shingles"])
+        last, kept = None, None
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (0, 1))
+            links: tuple[list, list] = ([], [])
+            at = 0
+            for _, sets in _sets(iter([pa.RecordBatch.from_arrays([batch.column(1), batch.column(3)], names=["b", "text"])]), width):
+                for s in sets:
+                    text = batch.column(2)[at]
+                    if last != (a[at], text):
+                        last = (a[at], text)
+                        kept = next(_sets(iter([pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1], batch.column(2)[at : at + 1]], names=["a", "text"])]), width))[1][0]
+                    both = np.concatenate([kept, s])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common * 100 >= (len(both) - common) * percent:
+                        links[0].append(a[at])
+                        links[1].append(b[at])
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
     return run
 
 
@@ -171,15 +222,27 @@ def _signature_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(i), pa.array(n), pa.array(r)], names=["key", "doc_id", "size", "role"])
 
 
+def _plausible(percent: int):
+    """Rows (a, b) of the pairs (a, b, sizes, sketches) that their sketches do not rule out."""
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                one, two = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                near = _near(n[i], one, np.array([m[i]]), {len(two): (np.zeros(1, np.int64), two[None, :])}, percent)
+                if sum(len(rows) for rows, _ in near):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    return run
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, with the exact sizes of intersection and union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(broadcast_if_small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_values(width), "doc_id long, shingles array<long>")
-    left = broadcast_if_small(pairs).join(sets, F.col("b") == F.col("doc_id")).select("a", "b", F.col("shingles").alias("s"))
-    both = left.join(sets, F.col("a") == F.col("doc_id")).select("a", "b", "s", "shingles")
-    common = F.size(F.array_intersect("s", "shingles")).cast("long")
-    both = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("shingles")).alias("total"))
-    return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("together")).where(F.col("common") * 100 >= F.col("together") * percent)
+    """The pairs (a, b) whose shingle sets are similar enough. Texts travel, not hashes: they are shorter and compress."""
+    left = docs.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    right = docs.join(broadcast_if_small(pairs.select("a").distinct()), F.col("doc_id") == F.col("a"), "left_semi").select("doc_id", F.col("text").alias("text_a"))
+    both = left.join(right, F.col("a") == F.col("doc_id")).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_compare(width, percent), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -190,9 +253,14 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     shingle; a null, empty or blank text has an empty set and is linked with nothing. A row whose doc_id is null is linked with nothing and has
     a null component. Rows that share a doc_id are one document for the links (each keeps its own n_shingles). An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, run_dir(docs.sparkSession, "jaccard")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, f1 long, f2 long"))
+    profile = kept(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "profile")
     classes = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = classes.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = cut(classes.join(first, ["f1", "f2"]).select("doc_id", "rep").distinct())     # more than one row where rows share a doc_id
@@ -200,46 +268,71 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     rep_of = reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     extra = reps.join(rep_of.withColumnRenamed("rep", "a"), "doc_id").where("rep != a").select("a", F.col("rep").alias("b"))
 
-    folder = run_dir(spark, "jaccard")
     documents = 1 << max(first.count(), 1).bit_length()
     signatures = docs.mapInArrow(_signatures(width, percent, documents), "key long, doc_id long, size int, role byte")
     by_key = Window.partitionBy("key").orderBy("size", "doc_id")
     centred = signatures.withColumn("center", F.first("doc_id").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     centred = centred.withColumn("more", F.lead("doc_id").over(by_key)).where("more IS NOT NULL OR center != doc_id").drop("more")
-    centred.write.parquet(f"{folder}/groups")                # only keys with several rows
-    groups = spark.read.parquet(f"{folder}/groups")
-
-    star = groups.where("center != doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = _as_representatives(star, rep_of)
-    star.write.parquet(f"{folder}/star")
-    star = spark.read.parquet(f"{folder}/star")
-    links = cut(_verify(docs, star, width, percent).select("a", "b").unionByName(extra))
-    found = components(links)
-
-    # Groups that hold several components: all pairs across them that the roles and sizes allow.
-    member = rep_of.join(found, rep_of.rep == found.node, "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    rows = groups.join(member, "doc_id").groupBy("key", "rep").agg(F.min("component").alias("component"), F.min("size").alias("size"), F.bit_or("role").alias("role"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
-    rows.write.parquet(f"{folder}/mixed")
-    rows = spark.read.parquet(f"{folder}/mixed")
-    x, y = rows.alias("x"), rows.alias("y")
-    meets = ("x.key = y.key AND x.component != y.component AND x.size <= y.size AND x.size * 100L >= y.size * {0}L AND "
-             "((x.role & {1}) > 0 AND (y.role & {2}) > 0 OR (x.role & {3}) > 0 AND (y.role & {4}) > 0)")
-    across = x.join(y, F.expr(meets.format(percent, INDEX, PROBE | PROBE_LESS, INDEX_LESS, PROBE)))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across.write.parquet(f"{folder}/across")
-    across = spark.read.parquet(f"{folder}/across")
-    more = cut(_verify(docs, across, width, percent).select("a", "b"))
-    whole = components(links.unionByName(more))
+    groups = kept(centred.select("key", "doc_id", "role"), "groups")       # only keys with several rows
+    probed = groups.where(f"role & {PROBE | PROBE_LESS} > 0").select("key").distinct()
+    rows = groups.join(probed, "key", "left_semi").join(rep_of, "doc_id").select("key", "rep").distinct()
+    meets = rows.groupBy("rep").agg(F.count("*").alias("meets"))
+    rows = rows.join(meets, "rep")
+    centers = rows.groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("center"))
+    star = kept(rows.join(centers, "key").where("center != rep").groupBy("center", "rep").agg(F.count("*").alias("shared")), "star")
+    best = star.groupBy(F.col("rep").alias("b")).agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("a")).select("a", "b")
+    sketches = profile.join(rep_of.where("doc_id = rep"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch"), "n_shingles").alias("s"))
+    sketches = sketches.select("doc_id", "s.n_shingles", "s.sketch")
+    one, two = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    best = best.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long")
+    links = cut(_verify(docs, kept(best, "best"), width, percent).unionByName(extra))
+    for step in ("nearest", "every"):
+        pairs = kept(_across(star, components(links), sketches, percent, step == "nearest"), step)
+        links = cut(links.unionByName(_verify(docs, pairs, width, percent)))
+    whole = components(links)
     final = rep_of.join(whole, rep_of.rep == whole.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     linked = profile.join(final, "doc_id", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _as_representatives(pairs: DataFrame, rep_of: DataFrame) -> DataFrame:
-    a = rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-    b = rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    pairs = pairs.join(a, "a").join(b, "b").where("ra != rb")
-    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+def _across(star: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a center's members in different components that their sketches do not rule out; with ``nearest`` one for each document and
+    other component."""
+    members = star.select("center", "rep").unionByName(star.select("center", F.col("center").alias("rep")).distinct())
+    members = members.join(found, F.col("rep") == F.col("node"), "left").select("center", "rep", F.coalesce("component", "rep").alias("component"))
+    counts = members.groupBy("center", "component").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("center").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n"))
+    groups = groups.where("n < all").select("center", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+                                            F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("probe_blocks"))
+    members = members.join(groups, "center").withColumn("probe", F.col("component") != F.col("largest"))
+    members = members.join(sketches, F.col("rep") == F.col("doc_id"))
+    place = lambda n, salt: F.pmod(F.xxhash64(F.col("rep"), F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = F.transform(every("probe_blocks"), lambda j: F.struct(place("blocks", 1).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    probe_cell = F.transform(every("blocks"), lambda i: F.struct(i.alias("i"), place("probe_blocks", 2).alias("j"), F.lit(1).alias("side")))
+    placed = members.withColumn("cell", F.explode(F.when(F.col("probe"), F.concat(cell, probe_cell)).otherwise(cell)))
+    placed = placed.select("center", "cell.i", "cell.j", "cell.side", "rep", "component", "n_shingles", "sketch")
+    return placed.groupBy("center", "i", "j").applyInArrow(_cell_pairs(percent, nearest), "a long, b long").distinct()
+
+
+def _cell_pairs(percent: int, nearest: bool):
+    def run(cell: pa.Table) -> pa.Table:
+        side = cell["side"].to_numpy()
+        ids, comp, sizes = (cell[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        raw = cell["sketch"].to_pylist()
+        by_length: dict[int, list[int]] = {}
+        for i in np.flatnonzero(side == 0):
+            by_length.setdefault(len(raw[i]) // 8, []).append(i)
+        sketches = {w: (np.array(rows), np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(-1, w)) for w, rows in by_length.items()}
+        out = []
+        for i in np.flatnonzero(side == 1):
+            for rows, apart in _near(int(sizes[i]), np.frombuffer(raw[i], np.uint64), sizes, sketches, percent):
+                other = comp[rows] != comp[i]
+                rows, apart = rows[other], apart[other]
+                if nearest and len(rows) > 1:
+                    rows = rows[np.argsort(apart, kind="stable")]
+                    rows = rows[np.unique(comp[rows], return_index=True)[1]]
+                out += [(min(x, y), max(x, y)) for x, y in zip(ids[rows].tolist(), [int(ids[i])] * len(rows))]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    return run
