@@ -8,6 +8,7 @@ from tidewatch.llm.jaccard import similar_documents
 from tidewatch.llm.mixture import mix_sources
 from tidewatch.llm.pii import BASE, with_spans
 from tidewatch.llm.relative_lz import remove_repeats
+from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -67,3 +68,15 @@ def op8(spark, sf):
 def op4(spark, sf):
     kept = remove_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def in_fold():
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+@query("op10_toxicity")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf, "labels").where(~in_fold()))
+    scored = score_toxicity(docs, model, "score")
+    return scored.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -32,6 +32,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_MARKS = _SPACE.copy()                               # everything in ASCII but letters and digits
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _BYTE = mix(np.arange(256, dtype=np.uint64), 5)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
@@ -59,20 +61,28 @@ class _Powers:
 
 
 class Words(NamedTuple):
-    """The words of some texts: hashes, the first and last byte (exclusive) of each in ``data``; text i has the words ends[i] to ends[i + 1]."""
+    """The words of some texts: hashes, the first and last byte (exclusive) of each in ``data``; text i has the words ends[i] to ends[i + 1].
+    ``total`` are the running hash sums of the bytes."""
 
     hashes: np.ndarray
     first: np.ndarray
     last: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    total: np.ndarray
+
+    def prefixes(self, words: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the first ``length`` bytes of the given words, which have to be that long."""
+        first = self.first[words]
+        return mix((self.total[first + length] - self.total[first]) * _Powers.of(len(self.data))[1][first], 100 + length)
 
     def text_words(self, i: int) -> slice:
         return slice(int(self.ends[i]), int(self.ends[i + 1]))
 
 
-def grouped_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
-    """(number of the first text, words) for groups of neighbouring texts; a null is an empty text, ``lower`` turns A-Z to a-z."""
+def grouped_words(texts: pa.Array, lower: bool = False, letters: bool = False) -> Iterator[tuple[int, Words]]:
+    """(number of the first text, words) for groups of neighbouring texts; a null is an empty text, ``lower`` turns A-Z to a-z. With ``letters``
+    words also end at every ASCII mark."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -83,16 +93,16 @@ def grouped_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, W
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, "right")) - 1)
         to = min(to, len(texts))
-        yield at, _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield at, _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, _MARKS if letters else _SPACE)
         at = to
 
 
-def _words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
+def _words(data: np.ndarray, bounds: np.ndarray, lower: bool, space: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
-        return Words(np.empty(0, np.uint64), none, none, np.zeros(len(bounds), np.int64), data)
-    inside = ~_SPACE[data]
+        return Words(np.empty(0, np.uint64), none, none, np.zeros(len(bounds), np.int64), data, np.zeros(1, np.uint64))
+    inside = ~space[data]
     before = np.empty(n, bool)                       # whether the byte before belongs to the same text and is no space
     before[0] = False
     before[1:] = inside[:-1]
@@ -108,7 +118,7 @@ def _words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[:n], out=total[1:])
     hashes = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64), 7)
-    return Words(hashes, first, last, np.searchsorted(first, bounds), data)
+    return Words(hashes, first, last, np.searchsorted(first, bounds), data, total)
 
 
 def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
