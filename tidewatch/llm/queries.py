@@ -4,11 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.llm.catalog import query, table
+from tidewatch.llm.exact_search import exact_top_k
+from tidewatch.llm.hnsw import near_neighbours
 from tidewatch.llm.jaccard import similar_documents
 from tidewatch.llm.mixture import mix_sources
 from tidewatch.llm.pii import BASE, with_spans
 from tidewatch.llm.relative_lz import remove_repeats
 from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
+from tidewatch.llm.vectors import usable
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -80,3 +83,21 @@ def op10(spark, sf):
     model = fit_toxicity(docs, table(spark, sf, "labels").where(~in_fold()))
     scored = score_toxicity(docs, model, "score")
     return scored.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_exact_top_k", """
+  WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  f AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM f q JOIN f c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+  SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
+def op5(spark, sf):
+    rows = usable(table(spark, sf, "embeddings"))
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x).cast("double")).alias("embedding"))
+    return exact_top_k(whole, whole.where("vec_id % 20 = 0"))
+
+
+@query("op9_hnsw_neighbours")
+def op9(spark, sf):
+    rows = usable(table(spark, sf, "embeddings"))
+    return near_neighbours(rows, rows.where("vec_id % 20 = 0"))
