@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.llm.bpe import token_digests
 from tidewatch.llm.catalog import query, table
 from tidewatch.llm.exact_search import exact_top_k
 from tidewatch.llm.hnsw import near_neighbours
@@ -101,3 +102,11 @@ def op5(spark, sf):
 def op9(spark, sf):
     rows = usable(table(spark, sf, "embeddings"))
     return near_neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf):
+    import public_tokenizers
+
+    digests = token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
