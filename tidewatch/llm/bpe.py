@@ -72,17 +72,17 @@ class Encoder:
     def encode(self, pieces: Iterable[str]) -> None:
         """Makes sure that all of these pieces are kept."""
         new = [p for p in pieces if p not in self.kept]
-        parts = {p: [raw] if (raw := p.encode("utf-8", "surrogatepass")) in self.ranks else self._cuts(raw) for p in new}
+        parts = {p: [(raw, True)] if (raw := p.encode("utf-8", "surrogatepass")) in self.ranks else [(w, False) for w in self._cuts(raw)] for p in new}
         words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in parts.values() for w in ws))}
         done: dict[int, tuple[str, int, bytes]] = {}
-        batch: list[tuple[int, bytes]] = []
+        batch: list[tuple[int, bytes, bool]] = []
         tokens = 0
-        for w, i in words.items():
-            if len(w) > LONG:
+        for (w, whole), i in words.items():
+            if len(w) > LONG and not whole:
                 ids = self._merge_long(w)
                 done[i] = ",".join(map(str, ids)), len(ids), b"".join(self.bytes[t] for t in ids)
                 continue
-            batch.append((i, w))
+            batch.append((i, w, whole))
             tokens += len(w)
             if tokens >= TOKENS:
                 done |= self._run(batch)
@@ -95,8 +95,6 @@ class Encoder:
     def _merge_long(self, word: bytes) -> list[int]:
         """Merges the leftmost pair of the lowest rank, over and over, with a heap of the pairs there are."""
         ranks, n = self.ranks, len(word)
-        if word in ranks:
-            return [ranks[word]]
         part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(ranks[word[i : i + 2]], i, 2) for i in range(n - 1) if word[i : i + 2] in ranks]
@@ -115,9 +113,9 @@ class Encoder:
                     heapq.heappush(heap, (ranks[both], x, len(both)))
         return [ranks[t] for t in part if t is not None]
 
-    def _run(self, batch: list[tuple[int, bytes]]) -> dict[int, tuple[str, int, bytes]]:
-        whole = [(i, 0, self.ranks[w]) for i, w in batch if w in self.ranks]
-        rows = whole + [(i, k, self.ranks[w[k : k + 1]]) for i, w in batch if w not in self.ranks for k in range(len(w))]
+    def _run(self, batch: list[tuple[int, bytes, bool]]) -> dict[int, tuple[str, int, bytes]]:
+        rows = [(i, 0, self.ranks[w]) for i, w, whole in batch if whole]       # a piece that is a token is not taken apart
+        rows += [(i, k, self.ranks[w[k : k + 1]]) for i, w, whole in batch if not whole for k in range(len(w))]
         if not rows:
             return {}
         word, pos, token = (list(x) for x in zip(*rows))
