@@ -7,6 +7,7 @@ from tidewatch.llm.bpe import token_digests
 from tidewatch.llm.catalog import query, table
 from tidewatch.llm.exact_search import exact_top_k
 from tidewatch.llm.hnsw import near_neighbours
+from tidewatch.llm.html_template import main_texts
 from tidewatch.llm.jaccard import similar_documents
 from tidewatch.llm.mixture import mix_sources
 from tidewatch.llm.pii import BASE, with_spans
@@ -110,3 +111,8 @@ def op7(spark, sf):
 
     digests = token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return digests.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+@query("op6_html_template")
+def op6(spark, sf):
+    return main_texts(table(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

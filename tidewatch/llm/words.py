@@ -16,7 +16,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BASE = 0x2545F4914F6CDD1D
 _MASK = (1 << 64) - 1
 #: Bytes of text that are hashed at once; a longer text makes a group of its own.
-GROUP = 1 << 21
+GROUP = 1 << 20
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
