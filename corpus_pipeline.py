@@ -1,7 +1,77 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: toxic documents go, one of each group of near duplicates stays, personal data is masked, sources are mixed to target
+weights, texts become tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; it is written as Parquet and read again as the next stage's ``docs``.
+All but the last return the columns of ``documents``. Null, empty and very long texts, repeated rows and empty tables are treated as the
+operators' docstrings say; columns besides doc_id, text, source and n_chars are carried along unchanged.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidewatch.llm.bpe import encode_documents
+from tidewatch.llm.jaccard import similar_documents
+from tidewatch.llm.mixture import take_copies
+from tidewatch.llm.pii import redact
+from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
+from tidewatch.session import broadcast_if_small, run_dir
+
+#: The whole of it cannot be said in SQL: it fits a model, and the last stage is compared with a tokenizer library in the tests.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5; the model is fitted on the texts of ``docs`` that the labels cover."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles with a Jaccard coefficient of 0.8 or more the document with the smallest doc_id. Documents
+    without words, or without doc_id, are in no group and stay; of rows that share a doc_id one stays, that with the smallest hash of its text."""
+    folder = run_dir(spark, "near-duplicates")
+    found = similar_documents(docs, width=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
+    found.write.parquet(f"{folder}/dropped")
+    docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").write.parquet(f"{folder}/repeated")
+    dropped, repeated = (broadcast_if_small(spark.read.parquet(f"{folder}/{name}")) for name in ("dropped", "repeated"))
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn("row_in_doc", first).where("row_in_doc = 1").drop("row_in_doc")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the personal data in their texts masked and n_chars counted anew."""
+    masked = redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeated as often as it takes them."""
+    return take_copies(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded of each document."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixture", mix),
+    ("tokens", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
