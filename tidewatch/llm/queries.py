@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import token_digests
 from tidewatch.llm.catalog import query, table
+from tidewatch.llm.chat import rotate_perspectives
 from tidewatch.llm.exact_search import exact_top_k
 from tidewatch.llm.hnsw import near_neighbours
 from tidewatch.llm.html_template import main_texts
@@ -116,3 +117,16 @@ def op7(spark, sf):
 @query("op6_html_template")
 def op6(spark, sf):
     return main_texts(table(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_chat_perspectives", r"""
+  WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS said_by, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+  s AS (SELECT DISTINCT conv_id, said_by AS speaker FROM t WHERE said_by <> 'system'),
+  r AS (SELECT t.*, s.speaker, CASE WHEN said_by = speaker THEN 'assistant' WHEN said_by = 'system' THEN said_by
+               ELSE 'user name=' || regexp_replace(said_by, '[\s<>|]+', '_', 'g') END AS role FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+  g AS (SELECT *, '<|im_start|>' || role || chr(10) AS head, '<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10) AS segment FROM r),
+  e AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, said_by, body ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM g)
+  SELECT conv_id, speaker, turn, role, segment, "end" - length(segment) AS start, "end", said_by = speaker AS trained,
+         CASE WHEN said_by = speaker THEN "end" - length(segment) + length(head) END AS mask_start, CASE WHEN said_by = speaker THEN "end" - 1 END AS mask_end FROM e""")
+def op1(spark, sf):
+    return rotate_perspectives(table(spark, sf, "conversations"))
