@@ -6,13 +6,7 @@ FEATURES = [
     "jvm_heap_used", "jvm_gc_pause_seconds", "cpu_usage", "memory_usage",
 ]
 
-# -- fixed values: root-cause labels and log severities -----------------------
-ROOT_CAUSES = [
-    "memory_leak", "cpu_saturation", "connection_pool_exhaustion", "downstream_timeout",
-    "disk_io_bottleneck", "jvm_gc_pressure", "request_spike", "config_error",
-    "deployment_regression", "network_partition", "normal",
-]
-SEVERITIES = ["DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
+# -- fixed values: log severities ---------------------------------------------
 CHART_SEVERITIES = ["ERROR", "WARN", "INFO", "DEBUG"]
 
 # -- fixed values: severity words, tried in this order ------------------------
@@ -28,14 +22,7 @@ IMPORTANT_REASONS = [
     "Evicted", "Unhealthy", "ImagePullBackOff", "ErrImagePull",
 ]
 
-# -- fixed values: caps per message and text lengths --------------------------
-MAX_METRICS_PER_NAME = 50
-MAX_LOGS_PER_BATCH = 100
-MAX_TRACES_PER_BATCH = 50
-MAX_EVENTS_PER_BATCH = 50
-MAX_SERIES_PER_QUERY = 10
-STREAM_MAXLEN = 50_000
-MESSAGE_CHARS = 4096
+# -- fixed values: text length and slow calls ---------------------------------
 EVENT_MESSAGE_CHARS = 500
 SLOW_MS = 500
 

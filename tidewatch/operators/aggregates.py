@@ -32,9 +32,10 @@ def stats_row(logs: DataFrame, traces: DataFrame, events: DataFrame, as_of: date
     return rows.agg(*[F.count_if(f).alias(f) for f in flags])
 
 
-def errors_by_service(logs: DataFrame, as_of: datetime, hours: int = 1) -> DataFrame:
-    return (logs.filter(_since(as_of, hours) & (F.col("severity") == "ERROR")).groupBy("service")
-            .agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "service").limit(10))
+def errors_by_service(logs: DataFrame, as_of: datetime, hours: int = 1, most: int | None = None) -> DataFrame:
+    """Errors of each service; with ``most`` only the services that have most."""
+    counts = logs.filter(_since(as_of, hours) & (F.col("severity") == "ERROR")).groupBy("service").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts if most is None else counts.orderBy(F.desc("cnt"), "service").limit(most)
 
 
 def latency_by_service(traces: DataFrame, as_of: datetime, hours: int = 1) -> DataFrame:
@@ -97,12 +98,12 @@ def ingest_counts(logs: DataFrame, metrics: DataFrame, traces: DataFrame) -> Dat
         F.count_if((k == "t") & F.col("flag")).alias("slow_count"), F.count_if((k == "l") & F.col("flag")).alias("error_count"))
 
 
-def metric_rollup(metrics: DataFrame, newest: int = 200, names: int = 15) -> DataFrame:
-    """Count and latest value by name among the newest samples, names in order of first appearance."""
-    top = metrics.orderBy(F.desc("timestamp"), F.desc("id")).limit(newest)
+def metric_rollup(metrics: DataFrame, newest: int | None = None, names: int | None = None) -> DataFrame:
+    """Count and latest value by name; with ``newest`` among so many newest samples, with ``names`` for the names seen last."""
+    top = metrics if newest is None else metrics.orderBy(F.desc("timestamp"), F.desc("id")).limit(newest)
     at = F.struct("timestamp", "id")
-    return (top.groupBy("metric_name").agg(F.count(F.lit(1)).alias("samples"), F.max_by("value", at).alias("latest"), F.max(at).alias("_at"))
-            .orderBy(F.desc("_at")).limit(names).drop("_at"))
+    rolled = top.groupBy("metric_name").agg(F.count(F.lit(1)).alias("samples"), F.max_by("value", at).alias("latest"), F.max(at).alias("_at"))
+    return (rolled if names is None else rolled.orderBy(F.desc("_at")).limit(names)).drop("_at")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions.scalar import flatten_labels, service_of, truncate
 
 
+def cell(name: str, chars: int | None) -> Column:
+    """Text of a cell, whole unless ``chars`` limits it."""
+    return (F.col(name) if chars is None else truncate(F.col(name), chars)).alias(name)
+
+
 def summary(stats: DataFrame, window: str) -> DataFrame:
     """The six totals as rows with notes."""
     # -- fixed values: row names and notes --
@@ -15,8 +20,8 @@ def summary(stats: DataFrame, window: str) -> DataFrame:
         F.struct(F.lit(n).alias("data_type"), F.col(c).alias("count"), F.lit(note).alias("notes")) for n, c, note in rows])))
 
 
-def logs(df: DataFrame) -> DataFrame:
-    return df.select("id", "timestamp", "service", "severity", truncate(F.col("message"), 500).alias("message"), "namespace",
+def logs(df: DataFrame, chars: int | None = None) -> DataFrame:
+    return df.select("id", "timestamp", "service", "severity", cell("message", chars), "namespace",
                      flatten_labels(F.col("labels")).alias("labels"))
 
 
@@ -30,34 +35,34 @@ def traces(df: DataFrame) -> DataFrame:
     return df.withColumn("highlight", mark)
 
 
-def events(df: DataFrame) -> DataFrame:
-    return df.withColumn("message", truncate(F.col("message"), 300)).withColumn("is_warning", F.col("event_type") == "Warning")
+def events(df: DataFrame, chars: int | None = None) -> DataFrame:
+    return df.withColumn("message", cell("message", chars)).withColumn("is_warning", F.col("event_type") == "Warning")
 
 
 def _first(array: str, field: str) -> Column:
     return F.coalesce(F.get(F.col(array), F.lit(0))[field], F.lit(""))
 
 
-def analysis(df: DataFrame) -> DataFrame:
+def analysis(df: DataFrame, chars: int | None = None) -> DataFrame:
     return df.select(
-        "timestamp", "service", "health_status", "confidence", truncate(F.col("summary"), 500).alias("summary"),
+        "timestamp", "service", "health_status", "confidence", cell("summary", chars),
         F.array_size("anomalies").alias("anomaly_count"), _first("anomalies", "title").alias("top_anomaly"),
         _first("anomalies", "severity").alias("top_anomaly_severity"), F.array_size("root_causes").alias("root_cause_count"),
         _first("root_causes", "issue").alias("top_root_cause"), F.array_size("recommendations").alias("recommendation_count"),
         _first("recommendations", "action").alias("top_recommendation"), F.array_join("performance.bottlenecks", ", ").alias("bottlenecks"))
 
 
-def anomalies(df: DataFrame) -> DataFrame:
+def anomalies(df: DataFrame, chars: int | None = None) -> DataFrame:
     rows = df.select("timestamp", "service", "health_status", F.inline("anomalies"))
     return rows.select(F.col("timestamp").alias("analysis_timestamp"), "service", "health_status", "severity", "title",
-                       truncate(F.col("detail"), 300).alias("detail"), F.array_join("affected_resources", ", ").alias("affected_resources"),
-                       truncate(F.col("evidence"), 200).alias("evidence"))
+                       cell("detail", chars), F.array_join("affected_resources", ", ").alias("affected_resources"),
+                       cell("evidence", chars))
 
 
-def recommendations(df: DataFrame) -> DataFrame:
+def recommendations(df: DataFrame, chars: int | None = None) -> DataFrame:
     rows = df.select("timestamp", "service", F.inline("recommendations"))
-    return rows.select(F.col("timestamp").alias("analysis_timestamp"), "service", "priority", truncate(F.col("action"), 300).alias("action"),
-                       truncate(F.col("reason"), 200).alias("reason"), truncate(F.col("command"), 200).alias("command"))
+    return rows.select(F.col("timestamp").alias("analysis_timestamp"), "service", "priority", cell("action", chars),
+                       cell("reason", chars), cell("command", chars))
 
 
 def trends(records: DataFrame) -> DataFrame:

@@ -101,8 +101,8 @@ def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def error_then_warning_messages(logs: DataFrame, limit: int = 200) -> DataFrame:
-    """Error messages, then warnings, newest first: the batch that goes to log clustering."""
+def error_then_warning_messages(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Error messages and warnings that go to log clustering; with ``limit`` the first of them, errors before warnings, newest first."""
     rank = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARN", 1)
-    return (logs.withColumn("_r", rank).filter(F.col("_r").isNotNull() & (F.col("message") != ""))
-            .orderBy("_r", F.desc("timestamp"), F.desc("id")).limit(limit).drop("_r"))
+    rows = logs.withColumn("_r", rank).filter(F.col("_r").isNotNull() & (F.col("message") != ""))
+    return (rows if limit is None else rows.orderBy("_r", F.desc("timestamp"), F.desc("id")).limit(limit)).drop("_r")

@@ -5,7 +5,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.constants import MAX_SERIES_PER_QUERY
 from tidewatch.functions.scalar import fixed, pretty_query, short_service, to_number
 from tidewatch.functions.series import with_position
 
@@ -40,28 +39,28 @@ def rounded(stats: DataFrame) -> DataFrame:
     return stats.withColumns({**{c: fixed(c, 4) for c in four}, **{c: fixed(c, 2) for c in two}})
 
 
-def raw_snapshot(samples: DataFrame, record: Sequence[str], series: str, order: Sequence[str], value: str = "value") -> DataFrame:
-    """First value, last value and sample count of each series; the first ten series of a record."""
+def raw_snapshot(samples: DataFrame, record: Sequence[str], series: str, order: Sequence[str], value: str = "value", most: int | None = None) -> DataFrame:
+    """First value, last value and sample count of each series; with ``most`` only so many series of a record, by name."""
     at = F.struct(*[F.col(c) for c in order])
     snap = samples.groupBy(*record, series).agg(
         F.count(F.lit(1)).alias("values_count"), F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"))
+    if most is None:
+        return snap
     rank = F.row_number().over(Window.partitionBy(*record).orderBy(series))
-    return snap.withColumn("_r", rank).filter(F.col("_r") <= MAX_SERIES_PER_QUERY).drop("_r")
+    return snap.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
 SERIES_FIELDS = ["data_points", "avg", "min", "max", "latest", "trend_pct", "direction", "volatility_cv"]
 
 
 def trend_records(stats: DataFrame, description: Column, range_window: str, step: str) -> DataFrame:
-    """Stored form: one row per ``(timestamp, query_name)`` with its series as an array (at most ten)."""
-    rank = F.row_number().over(Window.partitionBy("timestamp", "query_name").orderBy("service"))
+    """Stored form: one row per ``(timestamp, query_name)`` with all its series as an array, by service."""
     one = F.struct(F.create_map(F.lit("service_name"), F.col("service")).alias("labels"), *SERIES_FIELDS)
-    capped = stats.withColumn("_r", rank).filter(F.col("_r") <= MAX_SERIES_PER_QUERY)
-    sizes = stats.groupBy("timestamp", "query_name").agg(F.count(F.lit(1)).cast("int").alias("series_count"))
-    grouped = capped.groupBy("timestamp", "query_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", one.alias("s"))), lambda a, b: a["_r"] - b["_r"]),
-                    lambda x: x["s"]).alias("series"))
-    return grouped.join(sizes, ["timestamp", "query_name"]).select(
+    placed = F.collect_list(F.struct("service", one.alias("s")))
+    by_service = lambda a, b: F.when(a["service"] < b["service"], -1).when(a["service"] > b["service"], 1).otherwise(0)
+    grouped = stats.groupBy("timestamp", "query_name").agg(
+        F.transform(F.array_sort(placed, by_service), lambda x: x["s"]).alias("series"), F.count(F.lit(1)).cast("int").alias("series_count"))
+    return grouped.select(
         "timestamp", "query_name", description.alias("description"), F.lit(range_window).alias("range_window"),
         F.lit(step).alias("step"), "series_count", F.struct("series").alias("analysis"))
 

@@ -22,7 +22,7 @@ def agg_stats(spark, sf):
     return G.stats_row(A.logs(spark, sf), A.traces(spark, sf), A.k8s_events(spark, sf), A.as_of(spark, sf), A.k8s_as_of(spark, sf), hours=24)
 
 
-@query("agg_errors_by_service", f"""SELECT service, COUNT(*) AS cnt FROM logs_v WHERE {DAY} AND severity = 'ERROR' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", ["logs_v", "now_v"])
+@query("agg_errors_by_service", f"""SELECT service, COUNT(*) AS cnt FROM logs_v WHERE {DAY} AND severity = 'ERROR' GROUP BY 1""", ["logs_v", "now_v"])
 def agg_errors_by_service(spark, sf):
     return G.errors_by_service(A.logs(spark, sf), A.as_of(spark, sf), hours=24)
 
@@ -91,8 +91,7 @@ def agg_ingest_counts(spark, sf):
 
 
 @query("agg_metric_rollup", """
-  SELECT metric_name, COUNT(*) AS samples, ARG_MAX(value, (timestamp, id)) AS latest FROM (SELECT * FROM metrics_v ORDER BY timestamp DESC, id DESC LIMIT 200)
-  GROUP BY 1 ORDER BY MAX((timestamp, id)) DESC LIMIT 15""", ["metrics_v"])
+  SELECT metric_name, COUNT(*) AS samples, ARG_MAX(value, (timestamp, id)) AS latest FROM metrics_v GROUP BY 1""", ["metrics_v"])
 def agg_metric_rollup(spark, sf):
     return G.metric_rollup(A.metrics(spark, sf))
 

@@ -31,7 +31,7 @@ def x_summary(spark, sf):
     return X.summary(G.agg_stats(spark, sf), "Last 1440 min")
 
 
-@query("x_logs", """SELECT id, timestamp, service, severity, SUBSTRING(message, 1, 500) AS message, namespace, 'service_name=' || service || ', job=otel' AS labels FROM logs_v""", ["logs_v"])
+@query("x_logs", """SELECT id, timestamp, service, severity, message, namespace, 'service_name=' || service || ', job=otel' AS labels FROM logs_v""", ["logs_v"])
 def x_logs(spark, sf):
     return X.logs(A.logs(spark, sf).withColumn("labels", labels()))
 
@@ -47,7 +47,7 @@ def x_traces(spark, sf):
     return X.traces(A.traces(spark, sf)).withColumn("duration_ms", F.round("duration_ms", 4))
 
 
-@query("x_events", """SELECT id, uid, timestamp, source, pod, reason, event_type, SUBSTRING(message, 1, 300) AS message, event_type = 'Warning' AS is_warning FROM k8s_v""", ["k8s_v"])
+@query("x_events", """SELECT id, uid, timestamp, source, pod, reason, event_type, message, event_type = 'Warning' AS is_warning FROM k8s_v""", ["k8s_v"])
 def x_events(spark, sf):
     return X.events(A.k8s_events(spark, sf))
 
@@ -60,7 +60,7 @@ def x_analysis(spark, sf):
     return X.analysis(R.analyses(spark, sf))
 
 
-@query("x_anomalies", """SELECT timestamp AS analysis_timestamp, service, health_status, severity, 'Metric anomaly detected' AS title, SUBSTRING(details, 1, 300) AS detail,
+@query("x_anomalies", """SELECT timestamp AS analysis_timestamp, service, health_status, severity, 'Metric anomaly detected' AS title, details AS detail,
   '' AS affected_resources, evidence FROM report_v WHERE n_anomalies = 1""", ["report_v"])
 def x_anomalies(spark, sf):
     return X.anomalies(R.analyses(spark, sf))

@@ -57,6 +57,6 @@ def set_distinct_keys(spark, sf):
     return J.distinct_keys(A.metrics(spark, sf), "service", "metric_name")
 
 
-@query("set_error_warn_messages", """SELECT * FROM logs_v WHERE severity IN ('ERROR', 'WARN') AND message <> '' ORDER BY CASE severity WHEN 'ERROR' THEN 0 ELSE 1 END, timestamp DESC, id DESC LIMIT 200""", ["logs_v"])
+@query("set_error_warn_messages", """SELECT * FROM logs_v WHERE severity IN ('ERROR', 'WARN') AND message <> ''""", ["logs_v"])
 def set_error_warn_messages(spark, sf):
     return J.error_then_warning_messages(A.logs(spark, sf))

@@ -215,7 +215,7 @@ def win_left_pad(spark, sf):
 
 
 PAYLOAD = """(SELECT *, COUNT(*) OVER (PARTITION BY service, day, feature) AS n, LAST_VALUE(v) OVER (PARTITION BY service, day, feature ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lastv
-    FROM (SELECT *, DATE_TRUNC('day', timestamp) AS day FROM named_v QUALIFY ROW_NUMBER() OVER (PARTITION BY service, DATE_TRUNC('day', timestamp) ORDER BY timestamp DESC, id DESC) <= 200) WHERE feature IS NOT NULL AND v IS NOT NULL)"""
+    FROM (SELECT *, DATE_TRUNC('day', timestamp) AS day FROM named_v) WHERE feature IS NOT NULL AND v IS NOT NULL)"""
 
 
 def payload(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Unnesting of stream envelopes ``(timestamp, data)`` into table rows.
 
-Every parser is a chain of projections, so it runs unchanged on batch and streaming frames.
+Every parser is a chain of projections, so it runs unchanged on batch and streaming frames. All entries of a message and whole texts are kept.
 """
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.constants import MAX_EVENTS_PER_BATCH, MAX_LOGS_PER_BATCH, MAX_METRICS_PER_NAME, MAX_TRACES_PER_BATCH, MESSAGE_CHARS
-from tidewatch.functions.scalar import from_epoch_ns, parse_iso, truncate
+from tidewatch.functions.scalar import from_epoch_ns, parse_iso
 from tidewatch.schemas import CORRUPT, PAYLOADS, table_schema
 
 
@@ -39,22 +38,22 @@ def _shape(df: DataFrame, table: str) -> DataFrame:
 
 def metric_rows(parsed: DataFrame) -> DataFrame:
     names = parsed.select("at", text("p.namespace").alias("namespace"), F.explode("p.metrics").alias("metric_name", "results"))
-    rows = names.select("*", F.explode(F.slice("results", 1, MAX_METRICS_PER_NAME)).alias("r"))
+    rows = names.select("*", F.explode("results").alias("r"))
     return _shape(rows.select(
         F.col("at").alias("timestamp"), "namespace", "metric_name", F.coalesce("r.labels", F.create_map().cast("map<string,string>")).alias("labels"),
         F.col("r.value").alias("value"), F.to_json("r").alias("raw_data")), "metrics")
 
 
 def log_rows(parsed: DataFrame) -> DataFrame:
-    rows = parsed.select("at", text("p.namespace").alias("namespace"), F.inline(F.slice("p.entries", 1, MAX_LOGS_PER_BATCH)))
+    rows = parsed.select("at", text("p.namespace").alias("namespace"), F.inline("p.entries"))
     return _shape(rows.select(
         F.col("at").alias("timestamp"), from_epoch_ns(F.col("timestamp_ns")).alias("event_time"), "namespace", text("service").alias("service"),
-        text("severity", "INFO").alias("severity"), truncate(text("message"), MESSAGE_CHARS).alias("message"),
+        text("severity", "INFO").alias("severity"), text("message").alias("message"),
         F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels")), "logs")
 
 
 def trace_rows(parsed: DataFrame) -> DataFrame:
-    rows = parsed.select("at", F.inline(F.slice("p.traces", 1, MAX_TRACES_PER_BATCH)))
+    rows = parsed.select("at", F.inline("p.traces"))
     return _shape(rows.select(
         F.col("at").alias("timestamp"), text("trace_id").alias("trace_id"), text("service").alias("service"), text("operation").alias("operation"),
         F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"), F.coalesce("is_slow", F.lit(False)).alias("is_slow"),
@@ -63,7 +62,7 @@ def trace_rows(parsed: DataFrame) -> DataFrame:
 
 def cluster_event_rows(parsed: DataFrame) -> DataFrame:
     rows = parsed.filter(F.col("p.source") == "kubernetes").select(
-        "at", text("p.namespace").alias("namespace"), F.col("p.source").alias("source"), F.explode(F.slice("p.events", 1, MAX_EVENTS_PER_BATCH)).alias("e"))
+        "at", text("p.namespace").alias("namespace"), F.col("p.source").alias("source"), F.explode("p.events").alias("e"))
     return _shape(rows.select(
         F.col("at").alias("timestamp"), "namespace", "source", text("e.pod").alias("pod"), text("e.reason").alias("reason"), text("e.message").alias("message"),
         text("e.type", "Normal").alias("event_type"), F.to_json("e").alias("raw_data")), "events")
@@ -71,7 +70,7 @@ def cluster_event_rows(parsed: DataFrame) -> DataFrame:
 
 def pod_status_rows(parsed: DataFrame) -> DataFrame:
     rows = parsed.filter(F.col("p.source") == "k8s_pod_status").select(
-        "at", text("p.namespace").alias("namespace"), F.col("p.source").alias("source"), F.explode(F.slice("p.pods", 1, MAX_EVENTS_PER_BATCH)).alias("e"))
+        "at", text("p.namespace").alias("namespace"), F.col("p.source").alias("source"), F.explode("p.pods").alias("e"))
     return _shape(rows.select(
         F.col("at").alias("timestamp"), "namespace", "source", text("e.name").alias("pod"), F.lit("PodStatus").alias("reason"), text("e.phase").alias("message"),
         F.lit(None).cast("string").alias("event_type"), F.to_json("e").alias("raw_data")), "events")

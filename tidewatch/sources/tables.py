@@ -36,6 +36,8 @@ def training_set(spark: SparkSession, path: str, schema: T.StructType, build) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def log_pull(logs: DataFrame, as_of: datetime, since_minutes: int = 1440, limit: int = 5000) -> DataFrame:
-    """Training input: newest logs of a look-back window."""
-    return query_logs(logs, as_of, since_minutes=since_minutes, limit=limit)
+def log_pull(logs: DataFrame, as_of: datetime, since_minutes: int = 1440, limit: int | None = None) -> DataFrame:
+    """Training input: the logs of a look-back window, all of them unless ``limit`` asks for the newest."""
+    if limit is not None:
+        return query_logs(logs, as_of, since_minutes=since_minutes, limit=limit)
+    return logs.filter(F.col("timestamp") >= F.lit(as_of - timedelta(minutes=since_minutes)).cast("timestamp_ntz"))
