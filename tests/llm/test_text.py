@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -16,8 +15,8 @@ from tidewatch.llm.mixture import mix_sources, take_copies
 from tidewatch.llm.pii import redact, with_spans
 from tidewatch.llm.relative_lz import remove_repeats
 from tidewatch.llm.words import grouped_words
+from tests_helpers import BASE, WORD, base_spans, brute_components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Further columns that the operators use as names themselves.
 CLASH = "key string, size int, role string, rep string, center string, component string, mark string, place string, rows string, spans string, found string"
 
@@ -60,27 +59,6 @@ def test_words_are_those_of_bytes_split():
         assert len(set(seen.values())) == len(seen)
 
 
-def brute_components(rows, width, percent):
-    def grams(text):
-        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
-        return {tuple(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1)} if words else set()
-
-    sets = [(i, grams(t)) for i, t, _ in rows]
-    parent = {i: i for i, _ in sets if i is not None}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in sets:
-        for j, b in sets:
-            if i is not None and j is not None and i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
-
-
 @pytest.mark.parametrize("seed,width,percent,agree,block", [(1, 4, 85, 0.125, 2000), (2, 5, 80, 0.9, 7)])
 def test_similar_documents(spark, monkeypatch, seed, width, percent, agree, block):
     monkeypatch.setattr(jaccard, "AGREE", agree)       # 0.9: segments that allow one difference; small blocks: several cells per center
@@ -156,25 +134,6 @@ def test_mixture(spark):
     assert Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in copies.collect()) == +want
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
-        "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
-def luhn(d):
-    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
-
-
-def base_spans(text):
-    out = []
-    for kind, pattern in BASE.items():
-        for m in re.finditer(pattern, text):
-            d = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
-            if ok:
-                out.append((kind, m.start(), m.end()))
-    return out
-
-
 def test_personal_data(spark):
     rng = random.Random(5)
     bits = ["a@b.c", "x.y+z@d-e.fr.", "@", "1.2.3.4", "256.1.1.1.7", "001.02.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "+", "5", " ", "-", ".", "é", "😀", "\n",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.llm.columns import free
 from tidewatch.session import broadcast_if_small, cut
 
 #: Rows of one source and size that are ranked in one task.
@@ -83,10 +84,12 @@ def take_copies(docs: DataFrame, **options) -> DataFrame:
     dealt out evenly among them."""
     mark = {"mark": F.xxhash64("text")}
     same = ["doc_id", "source", "mark"]
+    doc_id, source, text_mark, copies, rows, times, time = free(docs, "d_doc_id", "d_source", "d_mark", "d_copies", "d_rows", "d_times", "d_time")
     drawn = mix_sources(docs, also=mark, **options).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    drawn = drawn.where("copies > 0").select(*[F.col(c).alias(f"d_{c}") for c in same], F.col("copies").alias("d_copies"), F.col("rows").alias("d_rows"))
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.xxhash64("text") == F.col("d_mark")))
-    turn = F.row_number().over(Window.partitionBy("d_doc_id", "d_source", "d_mark").orderBy(F.lit(0)))
-    times = F.expr("d_copies div d_rows") + F.when(turn <= F.col("d_copies") % F.col("d_rows"), 1).otherwise(0)
-    joined = joined.withColumn("d_times", times).where("d_times > 0")
-    return joined.withColumn("d_time", F.explode(F.sequence(F.lit(1), F.col("d_times").cast("int")))).select(*docs.columns)
+    drawn = drawn.where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("mark").alias(text_mark),
+                                             F.col("copies").alias(copies), F.col("rows").alias(rows))
+    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(text_mark)))
+    turn = F.row_number().over(Window.partitionBy(doc_id, source, text_mark).orderBy(F.lit(0)))
+    each = F.expr(f"`{copies}` div `{rows}`") + F.when(turn <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    joined = joined.withColumn(times, each).where(F.col(times) > 0)
+    return joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -9,6 +9,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.llm.columns import free
+
 
 class Kind(NamedTuple):
     """``valid`` judges a match; ``score`` is its own weight and ``context`` what one of ``words`` near it adds; kept from ``THRESHOLD`` on."""
@@ -105,7 +107,7 @@ def _spans(text: Column, kind: Kind) -> Column:
 def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED, column: str = "spans") -> DataFrame:
     """``docs`` with a column of (kind, start, end, score), by kind as listed, then start.
 
-    ``docs`` needs a text; every other column stays as it is. A null or empty text has no spans. Matches of one kind do not overlap, spans of
+    ``docs`` needs a text; every other column stays as it is, but one named ``column`` is replaced. A null or empty text has no spans. Matches of one kind do not overlap, spans of
     different kinds may. The base kinds stay whatever their context; it only raises their score.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -114,9 +116,10 @@ def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED, column:
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets; spans that overlap become one, named after the first."""
-    found = with_spans(docs, kinds, "pii_spans")
+    spans, = free(docs, "pii_spans")
+    found = with_spans(docs, kinds, spans)
     text = F.col("text")
-    ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def replace(acc, s):
         ahead = s["start"] >= acc["at"]
@@ -126,5 +129,5 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame
 
     state = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done")), replace,
                         lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.size("pii_spans") > 0, state).otherwise(text)
-    return found.withColumn("text", clean).drop("pii_spans")
+    clean = F.when(F.size(spans) > 0, state).otherwise(text)
+    return found.withColumn("text", clean).drop(spans)
