@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.bpe import encode_documents
+from tidewatch.llm.columns import free
 from tidewatch.llm.jaccard import similar_documents
 from tidewatch.llm.mixture import take_copies
 from tidewatch.llm.pii import redact
@@ -23,7 +24,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5; the model is fitted on the texts of ``docs`` that the labels cover."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, "toxicity_score").where("toxicity_score < 0.5").select(*docs.columns)
+    score, = free(docs, "toxicity_score")
+    return score_toxicity(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped, repeated = (broadcast_if_small(spark.read.parquet(f"{folder}/{name}")) for name in ("dropped", "repeated"))
     kept = docs.join(dropped, "doc_id", "left_anti")
     once = kept.join(repeated, "doc_id", "left_anti")
+    turn, = free(docs, "row_in_doc")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("row_in_doc", first).where("row_in_doc = 1").drop("row_in_doc")
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn(turn, first).where(F.col(turn) == 1).drop(turn)
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
