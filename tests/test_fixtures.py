@@ -1,4 +1,5 @@
 """Exact small fixtures and edge cases."""
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -162,3 +163,24 @@ def test_components_chain(spark):
     links = spark.range(1, 30).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     roots = {r.id: r.root for r in L.components(nodes, links).collect()}
     assert all(roots[i] == 0 for i in range(30)) and all(roots[i] == i for i in range(30, 40))
+
+
+def test_near_counts_of_ties_and_repeated_rows(spark):
+    at = lambda k: T0 + timedelta(seconds=k)
+    base = [(1, "a", at(100)), (1, "a", at(100)), (2, "a", at(0)), (3, "b", at(100)), (4, None, at(100)), (5, "a", None)]
+    other = [("a", at(k)) for k in (0, 40, 40, 90, 160, 161)] + [(None, at(100)), ("a", None)]
+    df = J.near_counts(spark.createDataFrame(base, "id int, k string, t timestamp_ntz"), {"n": spark.createDataFrame(other, "k string, t timestamp_ntz")}, "k", "t", 60)
+    assert sorted((r.id, r.n) for r in df.collect()) == [(1, 4), (1, 4), (2, 3), (3, 0), (4, 0), (5, 0)]
+
+
+def test_messages_and_trend_records_keep_everything(spark):
+    from tidewatch.sources import envelopes as E
+
+    entries = [{"service": "s", "labels": {"n": str(i)}, "timestamp_ns": str(i), "severity": "WARN", "message": "m" * 9000} for i in range(150)]
+    data = json.dumps({"source": "loki", "service": "s", "namespace": "d", "count": 150, "entries": entries})
+    rows = E.log_rows(E.parse(spark.createDataFrame([("2024-01-01T00:00:00Z", data)], "timestamp string, data string"), "logs")).collect()
+    assert len(rows) == 150 and {len(r.message) for r in rows} == {9000}
+    samples = [("q", f"s{i:02}", T0, T0 + timedelta(minutes=k), k, str(i + k)) for i in range(12) for k in range(3)]
+    frame = spark.createDataFrame(samples, "query_name string, service string, timestamp timestamp_ntz, ts timestamp_ntz, id int, value string")
+    record = T.trend_records(T.rounded(T.series_stats(frame, ["query_name", "service", "timestamp"], ["ts", "id"], "ts")), F.lit("d"), "24h", "15m").first()
+    assert record.series_count == 12 and [s.labels["service_name"] for s in record.analysis.series] == [f"s{i:02}" for i in range(12)]

@@ -60,19 +60,27 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
 def near_counts(base: DataFrame, others: dict[str, DataFrame], key: str, ts: str, seconds: int) -> DataFrame:
     """For each base row: how many rows of each other stream of the same key are within ``seconds`` of it.
 
-    Time buckets of that width make the key an equi key; only the counted rows are copied to the two neighbour
-    buckets. Matches are counted in a range frame and never emitted as pairs.
+    A count is the difference of two running counts, up to the end of the row's range and up to just before its start. Each base row gives two
+    marks; running counts are taken inside time buckets of ``seconds`` and over the totals of buckets, so the work grows with the rows, however
+    dense they are. Base rows that are equal in all columns are counted once and repeated.
     """
-    us = seconds * 1_000_000
-    bucket = F.floor(micros(ts) / us).cast("bigint")
-    cols = base.columns
-    stacked = base.withColumn("_kind", F.lit("")).withColumn("_b", bucket)
+    us, cols = seconds * 1_000_000, base.columns
+    at = micros(ts)
+    ends = F.array(F.struct((at + us).alias("_at"), F.lit(1).alias("_sign")), F.struct((at - us - 1).alias("_at"), F.lit(-1).alias("_sign")))
+    stacked = base.select("*", F.inline(ends)).withColumn("_kind", F.lit(""))
     for name, df in others.items():
-        stacked = stacked.unionByName(
-            df.select(key, ts, F.lit(name).alias("_kind"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b")), allowMissingColumns=True)
-    w = Window.partitionBy(key, "_b").orderBy(micros(ts)).rangeBetween(-us, us)
-    counted = stacked.select("*", *[F.count_if(F.col("_kind") == n).over(w).alias(n) for n in others])
-    return counted.filter(F.col("_kind") == "").select(*cols, *others)
+        stacked = stacked.unionByName(df.where(F.col(ts).isNotNull()).select(key, at.alias("_at"), F.lit(name).alias("_kind")), allowMissingColumns=True)
+    stacked = stacked.withColumn("_bucket", F.floor(F.col("_at") / us).cast("bigint"))
+    totals = stacked.groupBy(key, "_bucket").agg(*[F.count_if(F.col("_kind") == n).alias(n) for n in others])
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in others])
+    inside = Window.partitionBy(key, "_bucket").orderBy("_at", F.col("_kind") == "").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = stacked.select("*", *[F.count_if(F.col("_kind") == n).over(inside).alias(f"_in_{n}") for n in others]).where(F.col("_kind") == "")
+    marks = marks.join(totals, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of")), "left")
+    upto = {n: F.coalesce(F.col(f"_before_{n}") + F.col(f"_in_{n}"), F.lit(0)) for n in others}
+    counted = marks.groupBy(*cols).agg(F.count_if(F.col("_sign") == 1).alias("_rows"), *[F.sum(F.col("_sign") * upto[n]).alias(n) for n in others])
+    counted = counted.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
+    return counted.select(*cols, *[F.expr(f"`{n}` div _rows").alias(n) for n in others])
 
 
 def align_services(wide: DataFrame, services: Sequence[str], features: Sequence[str], block: str = "window_id", ts: str = "timestamp") -> DataFrame:
