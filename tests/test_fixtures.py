@@ -184,3 +184,28 @@ def test_messages_and_trend_records_keep_everything(spark):
     frame = spark.createDataFrame(samples, "query_name string, service string, timestamp timestamp_ntz, ts timestamp_ntz, id int, value string")
     record = T.trend_records(T.rounded(T.series_stats(frame, ["query_name", "service", "timestamp"], ["ts", "id"], "ts")), F.lit("d"), "24h", "15m").first()
     assert record.series_count == 12 and [s.labels["service_name"] for s in record.analysis.series] == [f"s{i:02}" for i in range(12)]
+
+
+def test_cycles_over_several_batches_see_the_stored_look_back(spark, tmp_path):
+    from tidewatch.sources.sinks import drop_expired
+    from tidewatch.streaming import ingest as I
+
+    schema, out = "id int, service string, ts timestamp_ntz", str(tmp_path / "out")
+    for k in range(3):
+        rows = [(k * 10 + j, "s", T0 + timedelta(days=k, hours=j)) for j in range(4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    seen = []
+
+    def cycle(batch, batch_id):
+        recent = I.stored_look_back(batch, batch_id, out, "rows", "ts", T0 + timedelta(hours=23))
+        I.publish(recent.groupBy("service").agg(F.count("*").alias("n")), f"{out}/report", batch_id)
+        seen.append(recent._jdf.queryExecution().toString())
+
+    for k in range(3):
+        stream = I.file_stream(spark, str(tmp_path / "in" / f"f{k}"), schema, "parquet", files_per_trigger=1)
+        I.start_cycle(stream, str(tmp_path / "checkpoint" / str(k)), lambda df, _, k=k: cycle(df, k), once=True).awaitTermination()
+    assert [tuple(r) for r in I.read_published(spark, f"{out}/report").collect()] == [("s", 8)]
+    assert all("PartitionFilters: [isnotnull(date" in plan for plan in seen)
+    cycle(spark.createDataFrame([(20 + j, "s", T0 + timedelta(days=2, hours=j)) for j in range(4)], schema), 2)        # a replay changes nothing
+    assert I.read_published(spark, f"{out}/report").first().n == 8
+    assert drop_expired(spark, out, "rows", T0 + timedelta(days=2)) == 2 and spark.read.parquet(f"{out}/rows").count() == 4

@@ -237,17 +237,16 @@ def snk_append_tables(spark, sf):
         FROM svc, now_v WHERE ts > as_of - INTERVAL 24 HOUR) WINDOW s AS (PARTITION BY query_name, service)))
     GROUP BY 1, 2, pct)""", ["svc", "now_v"])
 def str_trend_window(spark, sf):
-    """Every batch recomputes the trends of the trailing day and replaces the published result."""
+    """Every batch stores its samples and publishes the trends of the trailing day anew."""
     out, now = run_dir(spark, "trend-window"), A.as_of(spark, sf)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/samples/batch={batch_id}")
-        samples = batch.sparkSession.read.parquet(f"{out}/samples").filter(F.col("ts") > F.lit(now - timedelta(hours=24)).cast("timestamp_ntz"))
+        samples = I.stored_look_back(batch, batch_id, out, "samples", "ts", now - timedelta(hours=24))
         shaped = samples.select(F.col("event_type").alias("query_name"), "service", "ts", "event_id", F.col("value").cast("string").alias("value"))
-        OT.series_stats(shaped, ["query_name", "service"], ["ts", "event_id"], "ts").write.mode("overwrite").parquet(f"{out}/trends")
+        I.publish(OT.series_stats(shaped, ["query_name", "service"], ["ts", "event_id"], "ts"), f"{out}/trends", batch_id)
 
     I.start_cycle(stream_events(spark, sf), f"{out}/checkpoint", publish, once=True).awaitTermination()
-    return spark.read.parquet(f"{out}/trends").select("query_name", "service", "data_points", sfixed("avg", 4).alias("avg"), "direction")
+    return I.read_published(spark, f"{out}/trends").select("query_name", "service", "data_points", sfixed("avg", 4).alias("avg"), "direction")
 
 
 @query("str_batch_counts", "SELECT 'logs' AS type, service, COUNT(*) AS count FROM logs_v GROUP BY 2", ["logs_v"])
@@ -264,17 +263,16 @@ def str_retention(spark, sf):
   SELECT service, CASE WHEN e / n > 0.1E0 THEN 'CRITICAL' WHEN e / n > 0.02E0 OR slow > 10 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health_status, n AS total_logs, e AS total_errors, slow AS slow_traces
   FROM (SELECT service, COUNT(*) AS n, COUNT(*) FILTER (event_type = 'error') AS e, COUNT(*) FILTER (value * 10 > 500) AS slow FROM svc, now_v WHERE ts > as_of - INTERVAL 24 HOUR GROUP BY 1)""", ["svc", "now_v"])
 def str_analysis_cycle(spark, sf):
-    """One analysis cycle over the look-back window of what has arrived, then stop."""
+    """Analysis cycles over the stored look-back, one for each batch of what has arrived; the newest report counts."""
     out, now = run_dir(spark, "analysis-cycle"), A.as_of(spark, sf)
 
     def analyse(batch: DataFrame, batch_id: int) -> None:
-        recent = batch.filter(F.col("ts") > F.lit(now - timedelta(hours=24)).cast("timestamp_ntz"))
-        stats = recent.groupBy("service").agg(
+        stats = I.stored_look_back(batch, batch_id, out, "events", "ts", now - timedelta(hours=24)).groupBy("service").agg(
             F.count(F.lit(1)).alias("total_logs"), F.count_if(F.col("event_type") == "error").alias("total_errors"), F.count_if(F.col("value") * 10 > 500).alias("slow_traces"))
-        OR.rule_report(stats).write.mode("overwrite").parquet(f"{out}/analysis/batch={batch_id}")
+        I.publish(OR.rule_report(stats), f"{out}/analysis", batch_id)
 
     I.start_cycle(stream_events(spark, sf), f"{out}/checkpoint", analyse, once=True).awaitTermination()
-    return spark.read.parquet(f"{out}/analysis").select("service", "health_status", "total_logs", "total_errors", "slow_traces")
+    return I.read_published(spark, f"{out}/analysis").select("service", "health_status", "total_logs", "total_errors", "slow_traces")
 
 
 @query("str_tumbling_severity", "SELECT DATE_TRUNC('minute', timestamp) AS window_start, severity, COUNT(*) AS n FROM logs_v GROUP BY 1, 2", ["logs_v"])

@@ -9,12 +9,15 @@ from tidewatch.schemas import stored
 
 
 def append_batch(rows: DataFrame, root: str, table: str, batch: int, time_column: str = "timestamp") -> None:
-    """Write one batch of a table under ``batch=<id>``, partitioned by date. A replay overwrites the same folder."""
+    """Write one batch of a table, by date and then batch, so that reads prune dates. A replay overwrites the folders of its batch.
+
+    Quarantined rows go by the day that their time text starts with, 1970-01-01 where it names none."""
     if table == "quarantine":
-        dated = rows.withColumn("date", F.current_date())
+        day = F.expr("coalesce(try_cast(substr(timestamp, 1, 10) AS date), date'1970-01-01')")
     else:
-        dated = rows.withColumn("date", F.to_date(time_column))
-    dated.write.mode("overwrite").partitionBy("date").parquet(f"{root}/{table}/batch={batch}")
+        day = F.to_date(time_column)
+    dated = rows.withColumn("date", day).withColumn("batch", F.lit(batch).cast("bigint"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(f"{root}/{table}")
 
 
 def read_stored(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -28,7 +31,7 @@ def drop_expired(spark: SparkSession, root: str, table: str, cutoff) -> int:
     base = fs_path(f"{root}/{table}")
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = 0
-    for status in fs.globStatus(fs_path(f"{root}/{table}/batch=*/date=*")) or []:
+    for status in fs.globStatus(fs_path(f"{root}/{table}/date=*")) or []:
         day = status.getPath().getName().split("=", 1)[1]
         if day < cutoff.date().isoformat():
             fs.delete(status.getPath(), True)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.schemas import ENVELOPE
 from tidewatch.sources import envelopes as E
 from tidewatch.sources.sinks import append_batch
+from tidewatch.sources.tables import read_table
 
 BATCH_FILES = 100
 
@@ -53,6 +55,26 @@ def start_cycle(stream: DataFrame, checkpoint: str, handler: Callable[[DataFrame
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def stored_look_back(batch: DataFrame, batch_id: int, root: str, table: str, time_column: str, start: datetime) -> DataFrame:
+    """Store one batch, then all stored rows after ``start``, whichever batch brought them; only the date folders of the look-back are read."""
+    append_batch(batch, root, table, batch_id, time_column)
+    schema = T.StructType([*batch.schema.fields, T.StructField("date", T.DateType()), T.StructField("batch", T.LongType())])
+    stored = read_table(batch.sparkSession, f"{root}/{table}", schema, start)
+    return stored.filter(F.col(time_column) > F.lit(start).cast("timestamp_ntz")).select(*batch.columns)
+
+
+def publish(rows: DataFrame, root: str, batch_id: int) -> None:
+    """Write a result as a version of its own; readers of an earlier version are not disturbed."""
+    rows.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of a result."""
+    versions = spark.read.parquet(root)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def batch_counts(batch: DataFrame, kind: str) -> DataFrame:
     """Notification of a batch: stream type, service and count."""
     return batch.groupBy("service").agg(F.count(F.lit(1)).alias("count")).select(F.lit(kind).alias("type"), "service", "count")
