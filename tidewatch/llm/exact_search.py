@@ -123,5 +123,6 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataF
     left = queries.select(F.size("embedding").alias("dim"), place(1, blocks).alias("block"), numbers(shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "embedding")
     right = candidates.select(F.size("embedding").alias("dim"), numbers(blocks).alias("block"), place(2, shards).alias("shard"), F.lit(1).alias("side"), "vec_id", "embedding")
     keys = ["dim", "block", "shard"]
-    rows = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
+    # Few bytes but much work: a given number of partitions is not coalesced.
+    rows = left.unionByName(right).repartition(2 * blocks * shards, *keys).sortWithinPartitions(*keys, "side")
     return best(rows.mapInArrow(_search(k), RESULT.format("long")), k)

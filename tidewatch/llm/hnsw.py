@@ -180,5 +180,6 @@ def near_neighbours(candidates: DataFrame, queries: DataFrame, k: int = 20) -> D
     shards = max(1, -(-candidates.count() // SHARD))
     left = candidates.select(F.size("embedding").alias("dim"), place(3, shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "embedding")
     right = queries.select(F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), "vec_id", "embedding")
-    rows = left.unionByName(right).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "side")
+    # Few bytes but much work: a given number of partitions is not coalesced.
+    rows = left.unionByName(right).repartition(2 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "side")
     return best(rows.mapInArrow(_search(k), RESULT.format("double")), k)
