@@ -17,6 +17,8 @@ from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
     ("<body><div class='cookie-notice'>c</div><div id=side-bar class=sidebar>s</div><div class=content><h2>H</h2><ul><li>1<li>2</ul></div><section class='comments'><p>nice</p></section>", ["H", "1", "2"]),
     ("<main><form>name<input></form><p title='a>b'>in</p><aside>x</aside><div class='ad'>buy</div></main><p>out</p>", ["in"]),
     ("<article><p>a &lt;b&gt;</p><article class=comment><p>reader</p></article></article>", ["a <b>"]),
+    ("<div class='with-sidebar'><article><div class='article-header'><h1>T</h1></div><p>x</p><div id=comments><p>c</p></div></article></div>", ["T", "x"]),
+    ("<div class='sidebar-layout'><main><p>m</p></main><div class='related'><article><p>r</p></article></div></div>", ["m"]),
     ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]), ("<<<p>x</p", ["<<", "x"]), ("<p>cut &am", ["cut &am"]),
 ])
 def test_extract(page, want):

@@ -35,6 +35,9 @@ _OUT_NAMES = re.compile(
     r"^(ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|signup|login|sidebar\w*|side|aside|widgets?|menu\w*"
     r"|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|header|footer|copyright|comments?|disqus|replies|responses|share|sharing|social|related"
     r"|recommend\w*|trending|tags?|toc|skip|hidden|search\w*|form)$")
+#: Inside an article these name its own title; names that start so say what a page has, not what the element is.
+_TITLE_NAMES = {"header", "masthead", "banner", "tag", "tags"}
+_STATES = re.compile(r"(has|with|no|without|is|not|show|hide)[-_]")
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
 _ATTRIBUTE = re.compile(r"(id|class|role|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
@@ -59,10 +62,11 @@ class Block(NamedTuple):
 def _open(tag: str, attributes: str, above: Element | None) -> Element:
     found = {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = f"{found.get('id', '')} {found.get('class', '')}".lower().split()
-    parts = [p for n in names for p in [n, *re.split(r"[-_]+", n)]]
+    parts = [p for n in names if not _STATES.match(n) for p in [n, *re.split(r"[-_]+", n)]]
     article = bool(above and above.article) or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop") == "articleBody"
     out = bool(above and above.out) or tag in OUT or tag == "header" and not (above and above.article)
-    out = out or tag not in ("html", "body") and any(_OUT_NAMES.match(p) for p in parts) or found.get("role", "").lower() in _OUT_ROLES
+    named = tag not in ("html", "body") and any(_OUT_NAMES.match(p) and not (above and above.article and p in _TITLE_NAMES) for p in parts)
+    out = (out or named or found.get("role", "").lower() in _OUT_ROLES) and tag != "main"
     out = out or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     label = tag + "".join(f".{re.sub('[0-9]+', '0', n)}" for n in sorted(names))
     path = f"{above.path}/{label}" if above else label
