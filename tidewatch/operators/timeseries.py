@@ -6,6 +6,7 @@ and only then copies the small bucket rows to the grid points that cover them: a
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -16,8 +17,9 @@ from tidewatch.functions.series import floor_ts, from_micros, micros, with_previ
 
 
 def counter_increase(samples: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value", order: Sequence[str] | None = None) -> DataFrame:
-    """Add ``increase``: growth since the preceding sample; after a reset the sample itself; 0 for the first."""
-    seen = with_previous(samples, keys, list(order or [ts]), ts, value, "_prev")
+    """Add ``increase``: growth since the preceding sample; after a reset the sample itself; 0 for the first. Samples of one time go by ``order``,
+    else by their value."""
+    seen = with_previous(samples, keys, list(order or [ts, value]), ts, value, "_prev")
     grown = F.when(F.col("_prev").isNull(), 0.0).when(F.col(value) < F.col("_prev"), F.col(value)).otherwise(F.col(value) - F.col("_prev"))
     return seen.withColumn("increase", grown).drop("_prev")
 
@@ -38,16 +40,13 @@ def on_grid(
     age = end_us - micros(ts)
     newest = F.struct(F.col(ts).alias("at"), F.col(last_of or value).alias("v"))
     last = F.max(newest)
-    if range_s % step == 0:
-        bucket = F.floor(age / (step * us)).cast("bigint")
-        rows = rows.groupBy(*keys, bucket.alias("_hi")).agg(F.count(value).alias("n"), F.sum(value).alias("total"), last.alias("last"))
-        low = F.col("_hi") - (range_s // step - 1)
-    else:
-        rows = rows.select(*keys, F.floor(age / (step * us)).cast("bigint").alias("_hi"), F.lit(1).alias("n"), F.col(value).alias("total"),
-                           newest.alias("last"),
-                           (F.floor((age - range_s * us) / (step * us)) + 1).cast("bigint").alias("_lo"))
-        low = F.col("_lo")
-    high = F.col("_hi") if span is None else F.least(F.col("_hi"), F.lit(span // step))
+    # Buckets that both the step and the range are made of; a point covers a whole number of them.
+    width = math.gcd(step, range_s)
+    per_step, per_range = step // width, range_s // width
+    rows = rows.groupBy(*keys, F.floor(age / (width * us)).cast("bigint").alias("_b")).agg(F.count(value).alias("n"), F.sum(value).alias("total"), last.alias("last"))
+    low = F.floor((F.col("_b") - per_range + per_step) / per_step).cast("bigint")
+    newest_point = F.floor(F.col("_b") / per_step).cast("bigint")
+    high = newest_point if span is None else F.least(newest_point, F.lit(span // step))
     points = rows.withColumn("_low", F.greatest(low, F.lit(0))).withColumn("_high", high).filter("_low <= _high").withColumn(
         "_j", F.explode(F.sequence("_low", "_high")))
     out = points.groupBy(*keys, "_j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last").alias("last"))
@@ -122,17 +121,17 @@ def label_match(df: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
 
 
 def instant(samples: DataFrame, keys: Sequence[str], as_of: datetime, staleness: int = 300, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Latest sample of each series in ``(as_of - staleness, as_of]``."""
+    """Latest sample of each series in ``(as_of - staleness, as_of]``; of samples of one time the largest."""
     at = lambda t: F.lit(t).cast("timestamp_ntz")
     live = samples.filter((F.col(ts) <= at(as_of)) & (F.col(ts) > at(as_of - timedelta(seconds=staleness))))
-    return live.groupBy(*keys).agg(F.max_by(value, ts).alias("value"), F.max(ts).alias(ts))
+    return live.groupBy(*keys).agg(F.max_by(value, F.struct(ts, value)).alias("value"), F.max(ts).alias(ts))
 
 
 def dedup_scrape(samples: DataFrame, keys: Sequence[str], seconds: int = 15, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
-    """Keep the latest sample of each series in each scrape interval."""
+    """Keep the latest sample of each series in each scrape interval; of samples of one time that with the largest ``tie`` columns, else columns."""
     rest = [c for c in samples.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
-    order = F.struct(F.col(ts), *[F.col(c) for c in tie])
+    order = F.struct(F.col(ts), *[F.col(c) for c in tie or rest])
     kept = samples.groupBy(*keys, floor_ts(ts, seconds).alias("_w")).agg(F.max_by(row, order).alias("r"))
     return kept.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
@@ -142,14 +141,16 @@ TIERS = [(7, None), (30, 300), (None, 3600)]
 
 
 def downsample(samples: DataFrame, keys: Sequence[str], as_of: datetime, ts: str = "ts") -> DataFrame:
-    """Keep raw samples up to seven days, the last sample per five minutes up to thirty, then per hour. Raw rows are not shuffled."""
+    """Keep raw samples up to seven days, the last sample per five minutes up to thirty, then per hour. Raw rows are not shuffled.
+
+    Of samples of one time the one with the largest columns counts."""
     age = lambda days: F.lit(as_of - timedelta(days=days)).cast("timestamp_ntz")
     raw = samples.filter(F.col(ts) >= age(TIERS[0][0]))
     old = samples.filter(F.col(ts) < age(TIERS[0][0]))
     width = F.when(F.col(ts) >= age(TIERS[1][0]), F.lit(TIERS[1][1] * 1_000_000)).otherwise(F.lit(TIERS[2][1] * 1_000_000)).cast("bigint")
     bucket = micros(ts) - F.pmod(micros(ts), width)
     rest = [c for c in samples.columns if c not in keys]
-    kept = old.groupBy(*keys, width.alias("_w"), bucket.alias("_b")).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), ts).alias("r"))
+    kept = old.groupBy(*keys, width.alias("_w"), bucket.alias("_b")).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(ts, *rest)).alias("r"))
     return raw.unionByName(kept.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*samples.columns))
 
 

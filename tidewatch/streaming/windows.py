@@ -7,7 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def sliding_rate(increases: DataFrame, keys: Sequence[str], increase: str, ts: str = "ts", window_s: int = 120, slide_s: int = 15) -> DataFrame:
-    """Rate over a trailing window, evaluated at every slide; ``eval_ts`` is the window end."""
+    """Rate over a trailing window, evaluated at every slide; ``eval_ts`` is the window end.
+
+    A batch is summed per slide first, and only these sums are copied to the windows that cover them; a stream sums per window.
+    """
+    if not increases.isStreaming and window_s % slide_s == 0:
+        sums = increases.groupBy(*keys, F.window(ts, f"{slide_s} seconds").alias("w")).agg(F.sum(increase).alias("s"))
+        ends = F.transform(F.sequence(F.lit(0), F.lit(window_s // slide_s - 1)), lambda j: F.timestamp_micros(F.unix_micros(F.col("w.end").cast("timestamp")) + j * slide_s * 1_000_000))
+        spread = sums.select(*keys, F.explode(ends).alias("e"), "s").groupBy(*keys, "e").agg((F.sum("s") / window_s).alias("value"))
+        kind = increases.schema[ts].dataType
+        return spread.select(*keys, F.col("e").cast(kind).alias("eval_ts"), "value")
     w = F.window(ts, f"{window_s} seconds", f"{slide_s} seconds")
     return increases.groupBy(*keys, w).agg((F.sum(increase) / window_s).alias("value")).select(*keys, F.col("window.end").alias("eval_ts"), "value")
 
