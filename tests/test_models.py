@@ -32,3 +32,17 @@ def test_neighbours_are_exact_across_chunks(spark):
         d = np.linalg.norm(x - x[i], axis=1)
         d[(y != y[i]) | (np.arange(120) == i)] = np.inf
         assert got[i] == list(np.argsort(d)[:3])
+
+
+def test_oversampling_of_classes_of_any_size(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(f"a{i}", 0.0, Vectors.dense([i / 10, 1.0])) for i in range(12)] + [(f"b{i}", 1.0, Vectors.dense([5.0 + i, i * 2.0])) for i in range(3)] + [("c", 2.0, Vectors.dense([9.0, 9.0]))]
+    out = RC.smote(spark.createDataFrame(rows, ["window_id", "y", "features"]), k=5).collect()
+    assert {y: sum(r.y == y for r in out) for y in (0.0, 1.0, 2.0)} == {0.0: 12, 1.0: 12, 2.0: 12}
+    for r in out:                                       # new points lie on a line between two rows of the class
+        x, z = r.features
+        if r.y == 1.0:
+            assert 5 <= x <= 7 and abs(z - 2 * (x - 5)) < 1e-9
+        if r.y == 2.0:
+            assert (x, z) == (9.0, 9.0)

@@ -44,9 +44,11 @@ def fit_anomaly(wide: DataFrame, stats: DataFrame) -> tuple[IsolationForest, Rec
     forest = IsolationForest(W.flat_columns()).fit(stats)
     scaler = W.Scaler(FEATURES).fit(wide)
     scaled = scaler.transform(wide)
-    # fitted on runs of the normal rows of a service; sequences never cross a service
-    rec = Reconstruction().fit(W.sequences(scaled.filter(F.col("label") == "normal")).select("seq"), scaler)
-    labelled = W.sequences(scaled).join(W.sequence_label(wide).select("service", "timestamp", "is_anomaly"), ["service", "timestamp"])
+    # fitted on the sequences of neighbouring rows that count as normal; rows around an incident do not become neighbours
+    every = W.sequences(scaled)
+    normal = W.sequence_label(wide).filter("is_anomaly = 0").select("service", "timestamp")
+    rec = Reconstruction().fit(every.join(normal, ["service", "timestamp"], "left_semi").select("seq"), scaler)
+    labelled = every.join(W.sequence_label(wide).select("service", "timestamp", "is_anomaly"), ["service", "timestamp"])
     return forest, rec.calibrate(labelled.select("is_anomaly", rec.error().alias("error")))
 
 

@@ -158,14 +158,15 @@ def nearest_same_class(rows: DataFrame, ident: str, k: int = 5, label: str = "y"
 def smote(rows: DataFrame, ident: str = "window_id", k: int = 5, seed: int = SEED) -> DataFrame:
     """Oversample every class to the size of the largest by interpolation towards a near neighbour of the class.
 
-    Rows ``ident, y, features``. Left unchanged with one class or a class of fewer than two rows.
+    Rows ``ident, y, features``. A class has up to ``k`` neighbours per row, fewer if it is smaller; the row of a class with a single one is
+    repeated. Left unchanged with one class.
     """
     rows = cut(rows)
     counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()        # one row per class
     sizes = {int(r["y"]): r["n"] for r in counts}
-    if len(sizes) < 2 or min(sizes.values()) < 2:
+    if len(sizes) < 2:
         return rows
-    k, top = max(1, min(k, min(sizes.values()) - 1)), max(sizes.values())
+    top = max(sizes.values())
     short = {y: (top - n, n) for y, n in sizes.items() if n < top}
     if not short:
         return rows
@@ -178,9 +179,10 @@ def smote(rows: DataFrame, ident: str = "window_id", k: int = 5, seed: int = SEE
     # every row makes floor(need / n) copies, the first `need % n` rows of the shuffle one more
     m, n = need[F.col("y")], have[F.col("y")]
     times = (F.floor(m / n) + F.when(F.col("pos") < F.pmod(m, n), 1).otherwise(0)).cast("int")
-    made = ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).join(near, [ident, "y"])
+    made = ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).join(near, [ident, "y"], "left")
     u = lambda tag: F.pmod(F.xxhash64(F.col(ident), F.col("copy"), F.lit(tag), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    partner = F.element_at("neighbours", (F.floor(u("n") * F.size("neighbours")) + 1).cast("int"))["x"]
+    some = F.greatest(F.size("neighbours"), F.lit(0))
+    partner = F.coalesce(F.try_element_at("neighbours", (F.floor(u("n") * some) + 1).cast("int"))["x"], F.col("x"))
     point = F.zip_with("x", partner, lambda a, b: a + (b - a) * u("g"))
     new = made.select(F.concat(ident, F.lit("#"), F.col("copy").cast("string")).alias(ident), F.col("y").cast("double").alias("y"), array_to_vector(point).alias("features"))
     return rows.select(F.col(ident).cast("string").alias(ident), "y", "features").unionByName(new)
