@@ -31,14 +31,13 @@ from tidewatch.session import cut, run_dir
 def _inputs(app: str, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = SparkSession.getActiveSession()
     wide = cut(W.row_labelled(spark, sf))
-    windows = cut(W.injected(spark, sf))
-    shape = windows.groupBy("window_id").agg(F.max(F.when(F.col("label") != "normal", F.col("label"))).alias("label"))
-    rich = OW.rich_stats(windows).join(shape.select("window_id", F.coalesce("label", F.lit("normal")).alias("label")), "window_id")
+    windows = cut(W.windows(spark, sf))
+    rich = OW.rich_stats(windows).join(W.labelled(spark, sf).select("window_id", "label"), "window_id")
     return wide, windows, cut(rich)
 
 
 def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(labelled metric rows, injected windows, rich window features with label)``."""
+    """``(labelled metric rows, windows, rich window features with the label that the rules give)``."""
     return _inputs(spark.sparkContext.applicationId, sf)
 
 

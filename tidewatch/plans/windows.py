@@ -262,48 +262,6 @@ def win_kfold(spark, sf):
     return W.kfold(rows.join(usable, "label", "left_semi"), "label", "window_id")
 
 
-SHAPES = ["memory_leak", "cpu_saturation", "downstream_timeout", "config_error", "jvm_gc_pressure", "request_spike", "deployment_regression", "normal"]
-
-
-def injected(spark: SparkSession, sf: str) -> DataFrame:
-    """Every window with one of the shapes (or none), chosen by a hash of the window."""
-    wid = F.col("window_id")
-    pick = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.floor(W.unit(wid, "shape") * 8) + 1).cast("int"))
-    return W.inject_patterns(windows(spark, sf), pick, (10 + F.floor(W.unit(wid, "start") * 10)).cast("int"), (20 + F.floor(W.unit(wid, "length") * 40)).cast("int"))
-
-
-def unit_sql(*parts: str) -> str:
-    return f"CAST(CAST('0x' || SUBSTRING(MD5(CONCAT_WS(':', {', '.join(parts)})), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0"
-
-
-add_view("inject_v", f"""
-  SELECT *, CASE WHEN inside THEN CASE shape WHEN 'memory_leak' THEN jvm_heap_used + (0.5E6 + 1.5E6 * u) * t WHEN 'jvm_gc_pressure' THEN GREATEST(jvm_heap_used + 0.3E0 * hm * SIN(8 * PI() * frac), 0) ELSE jvm_heap_used END ELSE jvm_heap_used END AS heap,
-    CASE WHEN inside THEN CASE shape WHEN 'memory_leak' THEN jvm_gc_pause_seconds * (1 + 0.5E0 * t / d) WHEN 'jvm_gc_pressure' THEN jvm_gc_pause_seconds * (3 + 5 * u) ELSE jvm_gc_pause_seconds END ELSE jvm_gc_pause_seconds END AS gc,
-    CASE WHEN inside AND shape = 'memory_leak' THEN LEAST(GREATEST(memory_usage + 0.002E0 * t, 0), 0.98E0) ELSE memory_usage END AS mem,
-    CASE WHEN inside THEN CASE shape WHEN 'cpu_saturation' THEN LEAST(GREATEST(0.85E0 + (0.95E0 - 0.85E0) * u + 0.06E0 * noise + CASE WHEN burst < 0.1E0 THEN 0.1E0 ELSE 0 END, 0), 1)
-      WHEN 'request_spike' THEN LEAST(GREATEST(cpu_usage * flood * 0.6E0, 0), 1) WHEN 'deployment_regression' THEN LEAST(GREATEST(cpu_usage * worse * 0.7E0, 0), 1) ELSE cpu_usage END ELSE cpu_usage END AS cpu,
-    CASE WHEN inside THEN CASE shape WHEN 'cpu_saturation' THEN latency_p99 * (1 + 1.5E0 * frac) WHEN 'downstream_timeout' THEN latency_p99 * (1 + recovery) WHEN 'jvm_gc_pressure' THEN latency_p99 * (1 + 0.8E0 * frac)
-      WHEN 'request_spike' THEN latency_p99 * SQRT(flood) WHEN 'deployment_regression' THEN latency_p99 * worse * 1.2E0 ELSE latency_p99 END ELSE latency_p99 END AS p99,
-    CASE WHEN inside THEN CASE shape WHEN 'downstream_timeout' THEN latency_p50 * (1 + 0.3E0 * recovery) WHEN 'deployment_regression' THEN latency_p50 * worse ELSE latency_p50 END ELSE latency_p50 END AS p50,
-    CASE WHEN inside AND shape = 'request_spike' THEN request_rate * flood ELSE request_rate END AS req,
-    CASE WHEN inside THEN CASE shape WHEN 'downstream_timeout' THEN LEAST(GREATEST(error_rate * (1 + 0.5E0 * recovery), 0), 1) WHEN 'config_error' THEN LEAST(GREATEST((0.1E0 + 0.4E0 * u) * LEAST(t / 9, 1) + 0.04E0 * noise, 0), 1)
-      WHEN 'request_spike' THEN CASE WHEN t >= sat THEN CASE WHEN n - sat > 1 THEN 0.01E0 + 0.14E0 * (t - sat) / (n - sat - 1) ELSE 0.01E0 END ELSE error_rate END
-      WHEN 'deployment_regression' THEN LEAST(GREATEST(error_rate * worse, 0), 1) ELSE error_rate END ELSE error_rate END AS err,
-    CASE WHEN inside THEN shape ELSE 'normal' END AS label
-  FROM (SELECT *, (3 + 7 * u) * EXP(-3 * frac) AS recovery, 1 + (3 + 3 * u - 1) * frac AS flood, 1.3E0 + (2.0E0 - 1.3E0) * u AS worse, FLOOR(n * 2 / 3) AS sat, AVG(jvm_heap_used) FILTER (inside) OVER (PARTITION BY window_id) AS hm
-    FROM (SELECT *, CASE WHEN n > 1 THEN t / (n - 1) ELSE 0 END AS frac, t >= 0 AND t < n AND shape <> 'normal' AS inside
-      FROM (SELECT *, LEAST(s + d, 60) - s AS n, CAST(i - s AS DOUBLE) AS t FROM (
-        SELECT slide_v.* EXCLUDE (n), ({SHAPES!r})[CAST(FLOOR({unit_sql('window_id', "'shape'")} * 8) AS INT) + 1] AS shape, 10 + CAST(FLOOR({unit_sql('window_id', "'start'")} * 10) AS INT) AS s,
-          20 + CAST(FLOOR({unit_sql('window_id', "'length'")} * 40) AS INT) AS d, {unit_sql('window_id', "'42'")} AS u, {unit_sql('window_id', 'CAST(i AS VARCHAR)', "'42'")} - 0.5E0 AS noise, {unit_sql('window_id', 'CAST(i AS VARCHAR)', "'42'", "'b'")} AS burst FROM slide_v))))""", "slide_v")
-
-
-@query("win_inject_patterns", f"""SELECT window_id, i, label, {r('heap', 2)} AS jvm_heap_used, {r('gc', 6)} AS jvm_gc_pause_seconds, {r('mem', 6)} AS memory_usage, {r('cpu', 6)} AS cpu_usage, {r('p99', 4)} AS latency_p99,
-  {r('p50', 4)} AS latency_p50, {r('req', 6)} AS request_rate, {r('err', 6)} AS error_rate FROM inject_v""", ["inject_v"])
-def win_inject_patterns(spark, sf):
-    n = {"jvm_heap_used": 2, "latency_p99": 4, "latency_p50": 4}
-    return injected(spark, sf).select("window_id", "i", "label", *[sfixed(f, n.get(f, 6)).alias(f) for f in FEATURES])
-
-
 @query("win_normalise_max", f"SELECT window_id, i, {r('CASE WHEN MAX(latency_p99) OVER (PARTITION BY window_id) > 0 THEN latency_p99 / MAX(latency_p99) OVER (PARTITION BY window_id) ELSE latency_p99 END', 6)} AS latency_p99 FROM slide_v", ["slide_v"])
 def win_normalise_max(spark, sf):
     return W.normalise_max(windows(spark, sf).select("window_id", "i", "latency_p99"), "latency_p99", ["window_id"]).withColumn("latency_p99", sfixed("latency_p99", 6))
@@ -327,9 +285,12 @@ def join_label_lookup(spark, sf):
     return J.label_lookup(feats, labelled(spark, sf))
 
 
-@query("join_pred_vs_actual", f"SELECT window_id, a.label AS predicted, l.label AS actual FROM (SELECT window_id, MODE(label ORDER BY label) AS label FROM (SELECT window_id, label FROM inject_v WHERE label <> 'normal') GROUP BY 1) a JOIN label_v l USING (window_id)", ["inject_v", "label_v"])
+@query("join_pred_vs_actual", """SELECT window_id, a.label AS predicted, l.label AS actual FROM (SELECT s.window_id, MODE(r.label ORDER BY r.label) AS label
+    FROM slide_v s JOIN row_label_v r ON r.service = s.service AND r.timestamp = s.timestamp WHERE r.label <> 'normal' GROUP BY 1) a JOIN label_v l USING (window_id)""", ["slide_v", "row_label_v", "label_v"])
 def join_pred_vs_actual(spark, sf):
+    """The commonest row label of each window beside the label of the window's statistics."""
     from tidewatch.operators.aggregates import mode_label
-    pred = mode_label(injected(spark, sf).filter(F.col("label") != "normal"), ["window_id"], "label").withColumnRenamed("label", "predicted")
+    rows = W.slide_rows(row_labelled(spark, sf)).filter(F.col("label") != "normal")
+    pred = mode_label(rows, ["window_id"], "label").withColumnRenamed("label", "predicted")
     actual = labelled(spark, sf).select("window_id", F.col("label").alias("actual"))
     return J.predicted_vs_actual(pred, actual)
