@@ -13,12 +13,13 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of text whose new pieces are encoded together, pieces kept, and tokens and rounds of one recursive query.
-GROUP, KEPT, TOKENS, ROUNDS = 2_000_000, 500_000, 400_000, 32
+GROUP, KEPT, TOKENS, ROUNDS = 2_000_000, 1_200_000, 400_000, 32
 #: Bytes of a part from which the heap is used.
 LONG = 512
 
@@ -42,7 +43,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Pieces of text to tokens; keeps what it encoded, at most ``KEPT`` pieces."""
+    """Pieces of text to tokens; keeps what it encoded, about ``KEPT`` pieces (340 bytes each), over the tasks of a Python worker."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
@@ -69,6 +70,12 @@ class Encoder:
                 start = i
         return [*out, piece[start:]]
 
+    def forget(self) -> None:
+        """Drops the older half of the pieces when there are more than ``KEPT``."""
+        if len(self.kept) > KEPT:
+            for piece in list(islice(self.kept, len(self.kept) // 2)):
+                del self.kept[piece]
+
     def encode(self, pieces: Iterable[str]) -> None:
         """Makes sure that all of these pieces are kept."""
         new = [p for p in pieces if p not in self.kept]
@@ -154,8 +161,7 @@ def _encode(path: str, pattern: str, ranks, with_text: bool):
                     size += len(text)
                     pieces.append(find(text))
                     at += 1
-                if len(encoder.kept) > KEPT:
-                    encoder.kept.clear()
+                encoder.forget()
                 encoder.encode(set().union(*pieces))
                 rows = []
                 for p in pieces:
