@@ -185,16 +185,18 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=names)
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, folder: str) -> DataFrame:
     """host, classes (tokens of each class in order, and kinds), container: the template of each host. ``pages`` has host, mark and html.
 
-    A class is on at least ``SUPPORT`` of a host's pages, so the tokens of a template are no more than a page has, divided by that share.
+    What it counts is kept in ``folder``. A class is on at least ``SUPPORT`` of a host's pages, so the tokens of a template are no more than a page has, divided by that share.
     """
     tokens = pages.select("host", "mark", "html").mapInArrow(_tokens, "host string, mark long, token long, kind long, times long, place long, depth long, running long")
     per = tokens.groupBy("host", "token", "kind").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("mark", "times")).alias("vector"), F.avg("place").alias("place"), F.max("depth").alias("depth"), F.sum("running").alias("running"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per.join(broadcast_if_small(sizes), "host").where((F.col("pages") >= F.col("all") * SUPPORT) & ((F.col("kind") == 0) | (F.col("all") >= PAGES)))
+    frequent.write.parquet(f"{folder}/frequent")                       # used three times, and made of all pages
+    frequent = pages.sparkSession.read.parquet(f"{folder}/frequent")
     # Texts make a class of their own kind: they are judged as template texts, tags as the frame.
     classes = frequent.groupBy("host", "vector", "pages", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens"))
     classes = classes.groupBy("host").agg(F.collect_list(F.struct("kind", "tokens")).alias("classes"))
@@ -245,7 +247,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     spark, folder = pages.sparkSession, run_dir(pages.sparkSession, "html-template")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url", "html").alias("mark"))
-    templates(pages).write.parquet(f"{folder}/templates")
+    templates(pages, folder).write.parquet(f"{folder}/templates")
     known = spark.read.parquet(f"{folder}/templates")
     joined = pages.join(broadcast_if_small(known), "host", "left").select("page_id", "url", "html", "classes", "container")
     kind = pages.schema["page_id"].dataType.simpleString()
