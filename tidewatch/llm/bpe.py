@@ -15,11 +15,12 @@ import heapq
 from collections.abc import Iterable
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of text whose new pieces are encoded together, pieces kept, and tokens and rounds of one recursive query.
-GROUP, KEPT, TOKENS, ROUNDS = 2_000_000, 1_200_000, 400_000, 32
+GROUP, KEPT, TOKENS, ROUNDS = 4_000_000, 900_000, 1_000_000, 32
 #: Bytes of a part from which the heap is used.
 LONG = 512
 
@@ -49,27 +50,22 @@ class Encoder:
         import duckdb
 
         self.ranks, self.kept = ranks, {}
-        self.bytes = {r: t for t, r in ranks.items()}
-        self.inner = {t[i : i + 2] for t in ranks for i in range(len(t) - 1)}
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.inner = np.zeros(1 << 16, bool)                             # pairs of bytes that some token holds side by side
+        for t in ranks:
+            for x, y in zip(t, t[1:]):
+                self.inner[x << 8 | y] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", {"first": [m[0] for m in merges], "second": [m[1] for m in merges], "merged": [m[2] for m in merges]})
         self._table("vocabulary", {"token": list(ranks.values()), "bytes": [t.hex() for t in ranks]})
 
-    def _table(self, name: str, columns: dict[str, list]) -> None:
+    def _table(self, name: str, columns: dict[str, list | np.ndarray]) -> None:
         rows = pa.table({k: pa.array(v, pa.string() if k == "bytes" else pa.int32()) for k, v in columns.items()})
         self.db.register("rows_in", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
-    def _cuts(self, piece: bytes) -> list[bytes]:
-        out, start = [], 0
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] not in self.inner:
-                out.append(piece[start:i])
-                start = i
-        return [*out, piece[start:]]
-
     def forget(self) -> None:
         """Drops the older half of the pieces when there are more than ``KEPT``."""
         if len(self.kept) > KEPT:
@@ -79,25 +75,13 @@ class Encoder:
     def encode(self, pieces: Iterable[str]) -> None:
         """Makes sure that all of these pieces are kept."""
         new = [p for p in pieces if p not in self.kept]
-        parts = {p: [(raw, True)] if (raw := p.encode("utf-8", "surrogatepass")) in self.ranks else [(w, False) for w in self._cuts(raw)] for p in new}
-        words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in parts.values() for w in ws))}
-        done: dict[int, tuple[str, int, bytes]] = {}
-        batch: list[tuple[int, bytes, bool]] = []
-        tokens = 0
-        for (w, whole), i in words.items():
-            if len(w) > LONG and not whole:
-                ids = self._merge_long(w)
-                done[i] = ",".join(map(str, ids)), len(ids), b"".join(self.bytes[t] for t in ids)
-                continue
-            batch.append((i, w, whole))
-            tokens += len(w)
-            if tokens >= TOKENS:
-                done |= self._run(batch)
-                batch, tokens = [], 0
-        done |= self._run(batch)
-        for p, ws in parts.items():
-            found = [done[words[w]] for w in ws]
-            self.kept[p] = found[0] if len(found) == 1 else (",".join(x[0] for x in found), sum(x[1] for x in found), b"".join(x[2] for x in found))
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        start, size = 0, 0
+        for i, r in enumerate(raw):
+            size += len(r)
+            if size >= TOKENS or i + 1 == len(raw):
+                self._run(new[start : i + 1], raw[start : i + 1])
+                start, size = i + 1, 0
 
     def _merge_long(self, word: bytes) -> list[int]:
         """Merges the leftmost pair of the lowest rank, over and over, with a heap of the pairs there are."""
@@ -120,38 +104,61 @@ class Encoder:
                     heapq.heappush(heap, (ranks[both], x, len(both)))
         return [ranks[t] for t in part if t is not None]
 
-    def _run(self, batch: list[tuple[int, bytes, bool]]) -> dict[int, tuple[str, int, bytes]]:
-        rows = [(i, 0, self.ranks[w]) for i, w, whole in batch if whole]       # a piece that is a token is not taken apart
-        rows += [(i, k, self.ranks[w[k : k + 1]]) for i, w, whole in batch if not whole for k in range(len(w))]
-        if not rows:
-            return {}
-        word, pos, token = (list(x) for x in zip(*rows))
-        self._table("open", {"word": word, "pos": pos, "token": token})
+    def _run(self, pieces: list[str], raw: list[bytes]) -> None:
+        """Encodes some pieces: a word of the table is a part of a piece between cuts, a position is a place in all of their bytes."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        whole = np.array([r in self.ranks for r in raw])                # a piece that is a token is not taken apart
+        first = ends - np.array([len(r) for r in raw])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.inner[data[:-1].astype(np.int64) << 8 | data[1:]]
+        cut[first] = True
+        piece = np.repeat(np.arange(len(raw)), ends - first)
+        cut[:-1] &= ~whole[piece] | (np.arange(len(data)) == first[piece])
+        word = np.cumsum(cut[:-1]) - 1
+        length = np.bincount(word)
+        keep = np.where(whole[piece], np.arange(len(data)) == first[piece], length[word] <= LONG)
+        pos = np.flatnonzero(keep)
+        token = self.byte[data[pos]]
+        token[whole[piece[pos]]] = [self.ranks[r] for r, w in zip(raw, whole) if w]
+        self._table("open", {"word": word[pos], "pos": pos, "token": token})
+        self._table("parts", {"word": np.arange(len(length)), "piece": piece[np.flatnonzero(cut[:-1])]})
         self.db.execute("CREATE OR REPLACE TABLE final AS SELECT word, pos, token FROM open WHERE false")
         while self.db.execute("SELECT count(*) FROM open").fetchall()[0][0]:
             self.db.execute(_STEPS)
             self.db.execute(f"INSERT INTO final SELECT word, pos, token FROM steps WHERE round < {ROUNDS}")
             self.db.execute(f"CREATE OR REPLACE TABLE open AS SELECT word, pos, token FROM steps WHERE round = {ROUNDS}")
-        return self.decode()
+        begin = np.flatnonzero(cut[:-1])
+        rows = [(w, begin[w] + k, t) for w in np.flatnonzero((length > LONG) & ~whole[piece[begin]])
+                for k, t in enumerate(self._merge_long(data[begin[w] : begin[w] + length[w]].tobytes()))]
+        if rows:
+            self._table("long_parts", dict(zip(("word", "pos", "token"), zip(*rows))))
+            self.db.execute("INSERT INTO final SELECT word, pos, token FROM long_parts")
+        for i, ids, n, text in self.decode():
+            self.kept[pieces[i]] = ids, n, bytes.fromhex(text)
 
-    def decode(self) -> dict[int, tuple[str, int, bytes]]:
-        """Per word of ``final``: its ids, their number, and the bytes that they stand for."""
-        found = self.db.execute("""SELECT word, string_agg(f.token::VARCHAR, ',' ORDER BY pos), count(*), string_agg(v.bytes, '' ORDER BY pos)
-                                   FROM final f JOIN vocabulary v ON v.token = f.token GROUP BY word""").fetchall()
-        return {w: (ids, n, bytes.fromhex(raw)) for w, ids, n, raw in found}
+    def decode(self) -> list[tuple[int, str, int, str]]:
+        """Per piece of ``final``: its ids, their number, and in hexadecimal the bytes that they stand for."""
+        return self.db.execute("""SELECT piece, string_agg(f.token::VARCHAR, ',' ORDER BY pos), count(*), string_agg(v.bytes, '' ORDER BY pos)
+                                  FROM final f JOIN vocabulary v ON v.token = f.token JOIN parts p ON p.word = f.word GROUP BY piece""").fetchall()
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _encoder(path: str, ranks) -> Encoder:
+    """The encoder of this Python worker, which outlives a task. (A task's own function gets copies of the module's variables; this one does not.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(ranks.value)
+    return _ENCODERS[path]
+
+
 def _encode(path: str, pattern: str, ranks, with_text: bool):
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        if path not in _ENCODERS:                                       # Python workers are used again
-            _ENCODERS[path] = Encoder(ranks.value)
-        encoder = _ENCODERS[path]
+        encoder = _encoder(path, ranks)
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1), 0
             while at < len(texts):
