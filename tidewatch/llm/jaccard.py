@@ -35,7 +35,7 @@ INDEX, INDEX_LESS, PROBE, PROBE_LESS = 1, 2, 4, 8
 #: Ratio of the largest and the smallest set size of a band.
 BAND = 1.6
 #: Assumed chance that two documents which are not similar agree in one shingle of a segment; only costs depend on it.
-AGREE = 0.125
+AGREE = 0.03
 #: Members or probes of one center that are compared in one task.
 BLOCK = 2000
 
