@@ -30,7 +30,7 @@ _STEPS = f"""
     SELECT word, pos, token, 0 AS round FROM open
     UNION ALL
     (WITH pair AS (SELECT word, pos, token, round, lead(token) OVER w AS next, lead(pos) OVER w AS next_pos FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
-          best AS (SELECT p.word, arg_min({{'pos': p.pos, 'next_pos': p.next_pos, 'merged': m.merged}}, m.merged::BIGINT * 16777216 + p.pos) AS b
+          best AS (SELECT p.word, arg_min({{'pos': p.pos, 'next_pos': p.next_pos, 'merged': m.merged}}, m.merged::BIGINT * 8589934592 + p.pos) AS b
                    FROM pair p JOIN merges m ON m.first = p.token AND m.second = p.next WHERE p.round < {ROUNDS} GROUP BY p.word)
      SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.token END, s.round + 1 FROM step s JOIN best USING (word) WHERE s.pos <> b.next_pos)
   )
