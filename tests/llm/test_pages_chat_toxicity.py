@@ -25,6 +25,21 @@ def test_extract(page, want):
     assert extract(page, None, None) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    *[(f"<article class='{c}'><p>the article</p></article><p>out</p>", ["the article"]) for c in ("post hentry category-x tag-linux", "long-form", "overflow-hidden", "post hidden", "form", "related", "promo-box")],
+    *[(f"<div class='{c}'><p>the article</p></div>", ["the article"]) for c in ("search-results post", "post tag-linux", "long-form", "overflow-hidden", "layout-sidebar", "elementor-widget-text-editor", "tag_ads")],
+    ("<div class='search-results form'><article><p>the article</p></article></div><p>out</p>", ["the article"]),
+    ("<main><article class='form'><p>the article</p></article></main>", ["the article"]),
+    ("<article><div itemprop=articleBody class=form><p>the article</p></div></article>", ["the article"]),
+    *[(f"<p>in</p><div class='{c}'>x</div>", ["in"]) for c in ("search-form", "related-posts", "related-post", "share-buttons", "post-tags", "tag-cloud", "site-footer", "ad-slot", "hidden", "promo", "tags-links")],
+    ("<div class='post'>a text that is long</div><div class=related><article><p>a teaser</p></article></div>", ["a text that is long"]),
+    ("<div class='post'>a</div><div id=comments><article><p>first reader</p></article><article><p>second reader</p></article></div>", ["a"]),
+    ("<p>area <math><mi>r</mi><mo>&lt;</mo><mn>2</mn><annotation encoding='application/x-tex'>r&lt;2</annotation></math> holds</p><xmp><b>&amp;</xmp>", ["area r<2 holds", "<b>&amp;"]),
+])
+def test_names_do_not_lose_an_article(page, want):
+    assert extract(page, None, None) == want
+
+
 def test_main_texts_use_the_template_of_a_host(spark):
     body = "<html><body><div class=top><span>Daily site</span></div><div class=x><div class=y><h2>Head {0}</h2><p>Words of {0} that are long enough</p></div><p>All rights kept</p></div></body></html>"
     rows = [(i, f"http://Site.org:80/{i}", body.format(i), "clash") for i in range(30)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from tidewatch.session import broadcast_if_small, run_dir
 
 #: Share of a host's pages that a template token is on; pages a host has at least before texts count as template; share of a host's text in its container.
 SUPPORT, PAGES, HOLDS = 0.9, 10, 0.7
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "annotation", "annotation-xml"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
          "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
@@ -31,10 +32,18 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 OUT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "label", "datalist", "noscript"}
+#: Names that say so wherever they are in a compound of hyphens, and names that only do alone or beside ``_FILL`` and other such names: long-form is no form.
+_OUT_PARTS = re.compile(
+    r"(ads?|advert[a-z0-9]*|sponsor[a-z0-9]*|cookies?|consent|gdpr|popup|modal|newsletter|subscri[a-z0-9]*|signup|login|sidebar[a-z0-9]*|aside|nav|navbar|navigation|breadcrumbs?"
+    r"|pagination|pager|toolbar|topbar|footer|copyright|comments?|disqus|recommend[a-z0-9]*|trending)")
 _OUT_NAMES = re.compile(
-    r"^(ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|signup|login|sidebar\w*|side|aside|widgets?|menu\w*"
-    r"|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|header|footer|copyright|comments?|disqus|replies|responses|share|sharing|social|related"
-    r"|recommend\w*|trending|tags?|toc|skip|hidden|search\w*|form)$")
+    r"(promo[a-z0-9]*|banner[a-z0-9]*|notices?|alerts?|side|widgets?|menu[a-z0-9]*|masthead|header|replies|responses|share|sharing|social|related|tags?|toc|skip|hidden"
+    r"|search|search(?:box|bar|form|field|input)|form)")
+_FILL = re.compile(r"([0-9]+|site|global|js|block|box|bar|wrap|wrapper|container|inner|outer|area|section|list|items?|links?|buttons?|btn|icons?|group|field|input|top|bottom|left|right"
+                   r"|primary|secondary|mobile|desktop|title|heading|label|stories|posts|articles|entries|cloud|panel|tools|toggle)")
+_OWNERS = {"article", "post", "entry", "page"}
+#: Names of what a page is about or how it is laid out; they are not split.
+_WHOLE = re.compile(r"(?!tags?[-_](list|cloud|links?|box|wrap|wrapper|container)$)(tag|category|cat|topic|layout|overflow|format|type|status|template|theme|grid|col|row|flex)[-_]")
 #: Inside an article these name its own title; names that start so say what a page has, not what the element is.
 _TITLE_NAMES = {"header", "masthead", "banner", "tag", "tags"}
 _STATES = re.compile(r"(has|with|no|without|is|not|show|hide)[-_]")
@@ -50,6 +59,10 @@ class Element(NamedTuple):
     out: bool                  # it or an element above it is no part of an article
     article: bool              # it or an element above it is an article or main element
     inside: tuple[int, ...]    # tokens of the elements above, and its own
+    nested: bool               # it or an element above it is an article, not only a main element
+    own: bool                  # it is an article or main element
+    barred: bool               # it is out for more than names
+    named: tuple[int, ...]     # numbers of the elements, it and those above, that are out by name
 
 
 class Block(NamedTuple):
@@ -59,24 +72,62 @@ class Block(NamedTuple):
     token: int                 # hash of path and text
 
 
-def _open(tag: str, attributes: str, above: Element | None) -> Element:
+@lru_cache(1 << 16)
+def _named(name: str, inside: bool) -> bool:
+    """Whether an id or class says that its element is no part of an article; ``inside`` an article some name its title."""
+    if _STATES.match(name):
+        return False
+    is_out = lambda p: bool(_OUT_PARTS.fullmatch(p) or _OUT_NAMES.fullmatch(p)) and not (inside and p in _TITLE_NAMES)
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    if len(parts) < 2:
+        return any(is_out(p) for p in parts)
+    if _WHOLE.match(name):
+        return False
+    if any(_OUT_PARTS.fullmatch(p) for p in parts) or parts[0] == "related" and len(parts) == 2 and parts[1] in _OWNERS | {"story", "content"}:
+        return True
+    rest = parts[1:] if parts[0] in _OWNERS else parts
+    return any(is_out(p) for p in rest) and all(is_out(p) or _FILL.fullmatch(p) for p in rest)
+
+
+def _open(tag: str, attributes: str, above: Element | None, number: int, free: frozenset[int]) -> Element:
     found = {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = f"{found.get('id', '')} {found.get('class', '')}".lower().split()
-    parts = [p for n in names if not _STATES.match(n) for p in [n, *re.split(r"[-_]+", n)]]
-    article = bool(above and above.article) or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article") or found.get("itemprop") == "articleBody"
-    out = bool(above and above.out) or tag in OUT or tag == "header" and not (above and above.article)
-    named = tag not in ("html", "body") and any(_OUT_NAMES.match(p) and not (above and above.article and p in _TITLE_NAMES) for p in parts)
-    out = (out or named or found.get("role", "").lower() in _OUT_ROLES) and tag != "main"
-    out = out or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    role = found.get("role", "").lower()
+    body = tag == "main" or role == "main" or found.get("itemprop") == "articleBody"
+    own = body or tag == "article" or role == "article"
+    inside, nested = bool(above and above.article), bool(above and above.nested)
+    # A name says nothing about an article, but of one in another, such as a comment.
+    named = tag not in ("html", "body") and not body and not (own and not nested) and number not in free and any(_named(n, inside) for n in names)
+    barred = (bool(above and above.barred) or tag in OUT or tag == "header" and not inside or role in _OUT_ROLES) and tag != "main"
+    barred = barred or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    out_by = () if tag == "main" else (above.named if above else ()) + ((number,) if named else ())
     label = tag + "".join(f".{re.sub('[0-9]+', '0', n)}" for n in sorted(names))
     path = f"{above.path}/{label}" if above else label
     token = xxhash.xxh3_64_intdigest(path) >> 1
-    return Element(tag, path, token, out, article, (above.inside if above else ()) + (token,))
+    return Element(tag, path, token, barred or bool(out_by), inside or own, (above.inside if above else ()) + (token,), nested or own and tag != "main" and role != "main", own, barred, out_by)
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
-    """Elements in page order and the blocks of text between block elements; markup that is not closed or wrongly nested is taken as browsers do."""
-    stack: list[Element] = [_open("html", "", None)]
+    """Elements in page order and the blocks of text between block elements.
+
+    A page whose only article is in an element that names leave out keeps it, if it is at least as long as the text elsewhere: then the name is
+    that of a layout. Beside another article, or with several in it, the element is what its name says.
+    """
+    elements, blocks = _parse(page, frozenset())
+    if not any(e.named and e.own for e in elements) or any(b.element.article and not b.element.out for b in blocks):
+        return elements, blocks
+    articles = {e.token for e in elements if e.own}
+    only = [e for e in elements if e.own and e.named and not e.barred and articles.isdisjoint(e.inside[:-1])]
+    if len(only) != 1:
+        return elements, blocks
+    freed = _parse(page, frozenset(only[0].named))
+    inside = sum(_running(b) for b in freed[1] if b.element.article)
+    return freed if inside and inside >= sum(map(_running, blocks)) else (elements, blocks)
+
+
+def _parse(page: str, free: frozenset[int]) -> tuple[list[Element], list[Block]]:
+    """Markup that is not closed or wrongly nested is taken as browsers do; the names of the elements with a number in ``free`` do not count."""
+    stack: list[Element] = [_open("html", "", None, -1, free)]
     elements, blocks, held = [], [], []                      # held: texts of the block so far and whether they are in a link
     block_of = stack[0]
 
@@ -126,6 +177,13 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             continue
         if tag in ("html", "body") and any(e.tag == tag for e in stack):
             continue
+        if tag == "xmp":                                     # shown as it is
+            flush()
+            end = re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            text(html.escape(page[at : end.start() if end else n], quote=False))
+            flush()
+            at = end.end() if end else n
+            continue
         if tag in BLOCK:
             flush()
             if any(e.tag == "p" for e in stack):
@@ -146,7 +204,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             if tag == "br":
                 text(" ")
             continue
-        stack.append(_open(tag, m[3], stack[-1]))
+        stack.append(_open(tag, m[3], stack[-1], len(elements), free))
         elements.append(stack[-1])
     flush()
     return elements, blocks
