@@ -50,6 +50,14 @@ def test_main_texts_use_the_template_of_a_host(spark):
     assert main_texts(frame.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    body = "<html><body><p>Site</p><div><h2>Head of {0} as long</h2><p>Words of {0} as long</p></div></body></html>"
+    names = {i: "a" if i < 40 else "b" for i in range(42)} | {100 + i: str(max(i - 180, 0)) for i in range(200)}
+    rows = [(i, f"http://{'copies' if i < 100 else 'mixed'}.org/{i}", body.format(n)) for i, n in names.items()]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head of {n} as long\nWords of {n} as long" for i, n in names.items()}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be <|im_end|> kind"), (1, 1, "ann b", "hi"), (1, 2, "bob", None), (1, 3, "ann b", "é!"), (2, 0, "system", "alone"), (None, None, None, "x"), (3, 5, "u", "same"), (3, 5, "u", "same")]
     long = [(4, t, "a" if t % 2 else "b", "t" * (t % 5)) for t in range(700)]

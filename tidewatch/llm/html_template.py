@@ -1,4 +1,4 @@
-"""Main text of web pages by template deduction over the pages of a host.
+"""Main text of web pages by template deduction over the different pages of a host.
 
 Every page is parsed into tokens: the start tags, each with the path of elements above it, and the texts of blocks with their path. A token's
 occurrence vector says how often it is on each page of the host. Tokens with equal vectors form an equivalence class; the vector is never built,
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.session import broadcast_if_small, run_dir
 
-#: Share of a host's pages that a template token is on; pages a host has at least before texts count as template; share of a host's text in its container.
+#: Share of a host's different pages that a template token is on; different pages a host has at least before texts count as template; share of a host's text in its container.
 SUPPORT, PAGES, HOLDS = 0.9, 10, 0.7
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "annotation", "annotation-xml"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -244,14 +244,15 @@ def _tokens(batches):
 
 
 def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """host, classes (tokens of each class in order, and kinds), container: the template of each host. ``pages`` has host, mark and html.
+    """host, classes (tokens of each class in order, and kinds), container: the template of each host. ``pages`` has host and html.
 
-    What it counts is kept in ``folder``. A class is on at least ``SUPPORT`` of a host's pages, so the tokens of a template are no more than a page has, divided by that share.
+    Copies of a page on a host count once: what is on all of them is the page's, not the template's. What it counts is kept in ``folder``. A class is on at least ``SUPPORT`` of a host's pages, so the tokens of a template are no more than a page has, divided by that share.
     """
-    tokens = pages.select("host", "mark", "html").mapInArrow(_tokens, "host string, mark long, token long, kind long, times long, place long, depth long, running long")
+    different = pages.select("host", "html").distinct().select("host", F.xxhash64("html").alias("mark"), "html")
+    tokens = different.mapInArrow(_tokens, "host string, mark long, token long, kind long, times long, place long, depth long, running long")
     per = tokens.groupBy("host", "token", "kind").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("mark", "times")).alias("vector"), F.avg("place").alias("place"), F.max("depth").alias("depth"), F.sum("running").alias("running"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("all"))
+    sizes = pages.select("host", F.xxhash64("html"), F.length("html")).distinct().groupBy("host").agg(F.count("*").alias("all"))     # no need to move the pages again
     frequent = per.join(broadcast_if_small(sizes), "host").where((F.col("pages") >= F.col("all") * SUPPORT) & ((F.col("kind") == 0) | (F.col("all") >= PAGES)))
     frequent.write.parquet(f"{folder}/frequent")                       # used three times, and made of all pages
     frequent = pages.sparkSession.read.parquet(f"{folder}/frequent")
@@ -299,12 +300,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text: the article of each page, its blocks joined by line breaks; an empty text where there is none.
 
     ``pages`` needs page_id, url and html; other columns are ignored. A null or empty html has no text. The host is what the url names between
-    the slashes, without port, in lower case; pages whose url is null or names none share one host. Pages that repeat are separate pages. Texts
-    are only taken for template texts on hosts of at least ``PAGES`` pages. An empty table gives no rows.
+    the slashes, without port, in lower case; pages whose url is null or names none share one host. Pages that repeat each have their text,
+    but count once for the template. Texts are only taken for template texts on hosts of at least ``PAGES`` different pages. An empty table gives no rows.
     """
     spark, folder = pages.sparkSession, run_dir(pages.sparkSession, "html-template")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url", "html").alias("mark"))
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     templates(pages, folder).write.parquet(f"{folder}/templates")
     known = spark.read.parquet(f"{folder}/templates")
     joined = pages.join(broadcast_if_small(known), "host", "left").select("page_id", "url", "html", "classes", "container")
