@@ -157,6 +157,18 @@ def test_personal_data(spark):
     assert redact(frame).columns == frame.columns
 
 
+def test_bank_codes_beside_other_words(spark):
+    one, two, short = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    cases = [("IBAN " + one + " BIC COBADEFFXXX", [one]), (two + " I think", [two]), (two + " 12 34", [two]), (short + " A1 B2 C3 D4 E5 F6 G7", [short]),
+             (one + " " + two + " GB82 WEST 1234 5698 7654 32 X", [one, two, "GB82 WEST 1234 5698 7654 32"]), ("ID AB12 " + two + " OK", [two]), ("é😀 " + two + " BIC", [two]),
+             ("DE89 3704 0044 0532 0130 01 BIC", []), (one + "BIC", []), ("X" + one, []), (two + ".", [two])]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in with_spans(frame).collect():
+        assert [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] == cases[r.doc_id][1], r.text
+    for r in redact(frame).collect():
+        assert r.text.count("[IBAN]") == len(cases[r.doc_id][1])
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers as P

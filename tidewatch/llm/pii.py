@@ -13,7 +13,11 @@ from tidewatch.llm.columns import free
 
 
 class Kind(NamedTuple):
-    """``valid`` judges a match; ``score`` is its own weight and ``context`` what one of ``words`` near it adds; kept from ``THRESHOLD`` on."""
+    """``valid`` judges a match; ``score`` is its own weight and ``context`` what one of ``words`` near it adds; kept from ``THRESHOLD`` on.
+
+    With ``shorten`` the pattern takes only the head of a match and looks ahead at what may follow, its first group; ``shorten`` gives the
+    part of both that is the match, or null. So what follows a match, and what is in a wrong one, is searched as well.
+    """
 
     name: str
     pattern: str
@@ -21,6 +25,7 @@ class Kind(NamedTuple):
     score: float
     context: float
     words: tuple[str, ...]
+    shorten: object = None
 
 
 #: A span is kept when its score is at least this much.
@@ -56,6 +61,22 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+#: Characters of a bank account code by country; others are judged as a whole.
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR DZ", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _bank_code(m: Column) -> Column:
+    """The bank account code that ``m`` starts with: as long as its country's are and the checksum holds, or else all of ``m``; null if there is none."""
+    valid = lambda c: mod97(F.regexp_replace(c, "\\x20", ""))
+    country = F.substring(m, 1, 2)
+    length = F.coalesce(*[F.when(country.isin(*names.split()), n) for n, names in _IBAN.items()])
+    own = F.regexp_substr(m, F.concat(F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){"), (length - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")))
+    return F.when(own.isNotNull() & valid(own), own).when(valid(m), m)
+
+
 def _small_parts(m: Column) -> Column:
     bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
     return F.forall(F.split(m, "\\."), lambda p: F.when(F.length(bare(p)) <= 3, bare(p).cast("int") <= 255).otherwise(False))
@@ -72,8 +93,8 @@ BASE = (
 )
 #: Found besides the base kinds: a bank code by its checksum alone, a social security number only beside a context word.
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-         lambda m: mod97(F.regexp_replace(m, "\\x20", "")), 0.9, 0.1, ("iban", "bank", "account", "konto", "compte", "cuenta")),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))",
+         lambda m: F.lit(True), 0.9, 0.1, ("iban", "bank", "account", "konto", "compte", "cuenta"), _bank_code),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9..)|-00-|-0000$"), 0.3, 0.4, ("ssn", "social security")),
 )
 _SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
@@ -83,15 +104,23 @@ def _spans(text: Column, kind: Kind) -> Column:
     pattern = F.lit(kind.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found)), lambda g: F.length(g).cast("long"))
-    pieces = F.arrays_zip(found.alias("m"), gaps.alias("g"))
+    after = F.regexp_extract_all(text, pattern, F.lit(1)) if kind.shorten else F.transform(found, lambda m: F.lit(""))
+    pieces = F.arrays_zip(found.alias("m"), gaps.alias("g"), after.alias("a"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<m:string,start:long,end:long>>").alias("all"))
 
     def place(acc, p):
         begin = acc["at"] + p["g"]
         end = begin + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(p["m"].alias("m"), begin.alias("start"), end.alias("end")))).alias("all"))
-
-    placed = F.filter(F.aggregate(pieces, start, place)["all"], lambda s: kind.valid(s["m"]))
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(F.concat(p["m"], p["a"]).alias("m"), begin.alias("start"), end.alias("end")))).alias("all"))
+
+    placed = F.aggregate(pieces, start, place)["all"]
+    if kind.shorten:
+        cut = F.filter(F.transform(placed, lambda s: F.struct(kind.shorten(s["m"]).alias("m"), s["start"].alias("start"))), lambda s: s["m"].isNotNull())
+        cut = F.transform(cut, lambda s: F.struct(s["m"].alias("m"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end")))
+        none = F.array().cast("array<struct<m:string,start:long,end:long>>")
+        apart = lambda all_, s: F.when(F.coalesce(F.try_element_at(all_, F.lit(-1))["end"], F.lit(0)) <= s["start"], F.concat(all_, F.array(s))).otherwise(all_)
+        placed = F.aggregate(cut, none, apart)
+    placed = F.filter(placed, lambda s: kind.valid(s["m"]))
 
     def scored(s):
         left = F.greatest(s["start"] - NEAR, F.lit(0))
