@@ -158,6 +158,27 @@ def test_log_clusters_and_noise(spark):
     assert got["Connection to <ip> lost after <n>ms"] != -1 and got["one of a kind line here"] == -1
 
 
+def test_all_similar_templates_are_linked_and_offered(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    sets = [sorted({*rng.sample(words, rng.randrange(1, 12)), "all"}) for _ in range(150)]
+    frame = spark.createDataFrame([*enumerate(sets)], "id long, tokens array<string>")
+    alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if b < a and alike(x, y) >= 0.6}
+    for block in (1000, 7):
+        monkeypatch.setattr(L, "BLOCK", block)
+        got = [(r.a, r.b) for r in L.similar_pairs(frame).collect()]
+        assert set(got) == want and len(got) == len(want)
+    known = [" ".join(x).replace("w", "word_").translate({c: c + 49 for c in range(48, 58)}) for x in sets]
+    clusters = spark.createDataFrame([(t, i % 9) for i, t in enumerate(dict.fromkeys(known[:100]))], "template string, cluster_id long")
+    old = {r.template: r.cluster_id for r in clusters.collect()}
+    for r in L.assign(spark.createDataFrame([(t,) for t in known], "message string"), clusters).collect():
+        best = max((alike(r.message.split(), t.split()), c) for t, c in old.items())
+        assert (r.confidence, r.cluster_id) == ((round(best[0], 4), best[1]) if best[0] >= 0.6 else (0.0, -1))
+
+
 def test_components_chain(spark):
     nodes = spark.range(40).select(F.col("id"))
     links = spark.range(1, 30).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))

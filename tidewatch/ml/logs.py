@@ -11,7 +11,7 @@ from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.series import micros, row_frames, with_position
-from tidewatch.session import cut
+from tidewatch.session import broadcast_if_small, cut
 
 # -- fixed values: masks of variable parts, applied in this order -------------
 MASKS = [
@@ -23,7 +23,7 @@ MASKS = [
 MIN_CLUSTER = 5
 MIN_SAMPLES = 3
 MIN_SIMILARITY = 0.6
-BANDS, BAND_ROWS = 8, 4
+BLOCK = 1000
 
 
 def template(message: Column) -> Column:
@@ -60,23 +60,42 @@ def tokens_of(t: str = "template") -> Column:
     return F.array_distinct(F.split(F.lower(F.trim(t)), r"\s+"))
 
 
-def bands(tokens: Column) -> Column:
-    """Min-hash band keys: similar token sets share at least one with high probability."""
-    sig = F.transform(F.sequence(F.lit(0), F.lit(BANDS * BAND_ROWS - 1)), lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s))))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(sig, b * BAND_ROWS + 1, BAND_ROWS)))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def rare_tokens(t: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """``id, tokens, token``: a row for each of the rarest tokens of a set. Two sets whose Jaccard coefficient is at least ``least`` share
+    one of these: the smaller share of a set that the other must hold leaves no more than the rest of it out."""
+    placed = t.select("id", "tokens", F.explode("tokens").alias("token")).join(broadcast_if_small(counts), "token")
+    ranked = placed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("c", "token"))).alias("_by"))
+    n = F.size("_by")
+    first = F.slice("_by", F.lit(1), F.least(n, n - F.ceil(n * least - 1e-9).cast("int") + 1))
+    return ranked.select("id", "tokens", F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+
+
+def token_counts(t: DataFrame) -> DataFrame:
+    return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+
+
+def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` with ``_n``, the number of blocks of about ``BLOCK`` rows that the table of ``sizes`` has for their token, and ``_own``, the row's number."""
+    blocks = sizes.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    return rows.join(broadcast_if_small(blocks), "token").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+
+
 def similar_pairs(t: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """Verified links ``a, b`` between templates: each to the smallest id of each of its buckets, so links grow linearly
-    with templates however full a bucket is."""
-    keyed = t.select("id", "tokens", F.explode(bands(F.col("tokens"))).alias("band"))
-    heads = keyed.groupBy("band").agg(F.min_by(F.struct("id", "tokens"), "id").alias("h"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    links = keyed.join(heads, "band").filter(F.col("id") != F.col("h.id")).filter(jaccard(F.col("tokens"), F.col("h.tokens")) >= least)
-    return links.select(F.col("id").alias("a"), F.col("h.id").alias("b")).distinct()
+    """All links ``a, b`` (``b`` the smaller id) between templates with a Jaccard coefficient of at least ``least``, which is above 0.
+
+    Pairs that share one of their rare tokens are verified. The templates of a token meet in cells of about ``BLOCK`` by ``BLOCK``, so
+    that no task gets all the pairs of a full one."""
+    rare = cut(rare_tokens(t, token_counts(t), least))
+    own = in_blocks(rare, rare)
+    left = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_own")))).select("token", F.col("_own").alias("_i"), F.col("_to").alias("_j"), F.col("id").alias("x"), F.col("tokens").alias("tx"))
+    right = own.withColumn("_from", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).select("token", F.col("_from").alias("_i"), F.col("_own").alias("_j"), F.col("id").alias("y"), F.col("tokens").alias("ty"))
+    apart = (F.col("_i") != F.col("_j")) | (F.col("x") > F.col("y"))
+    links = left.join(right, ["token", "_i", "_j"]).filter(apart & (jaccard(F.col("tx"), F.col("ty")) >= least))
+    return links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -149,18 +168,21 @@ def pattern_summary(p: DataFrame, cid: str = "cluster_id") -> DataFrame:
 
 
 def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None = None, least: float = MIN_SIMILARITY) -> DataFrame:
-    """New messages to known clusters: equal template first, else the most similar template that shares a band.
+    """New messages to known clusters: equal template first, else the cluster of the most similar of all templates.
 
     Adds ``cluster_id`` (-1 for a new pattern), ``confidence`` and ``is_new_pattern``. Only distinct templates are matched.
     """
     logs = messages.withColumn("template", template(F.col("message")))
     fresh = logs.select("template").distinct().withColumn("tokens", tokens_of())
     known = clusters.filter("cluster_id <> -1").select("template", "cluster_id")
-    keyed = lambda d: d.withColumn("band", F.explode(bands(F.col("tokens"))))
     exact = fresh.join(known, "template").select("template", "cluster_id", F.lit(1.0).alias("confidence"))
-    # a bucket offers one template per cluster, the smallest
-    offers = keyed(known.withColumn("tokens", tokens_of())).groupBy("band", "cluster_id").agg(F.min_by("tokens", "template").alias("other"))
-    close = keyed(fresh.join(known, "template", "left_anti")).join(offers, "band").withColumn("confidence", jaccard(F.col("tokens"), F.col("other"))).filter(F.col("confidence") >= least)
+    old = known.withColumn("tokens", tokens_of()).withColumn("id", F.struct("cluster_id", "template"))
+    new = fresh.join(known, "template", "left_anti").withColumn("id", F.col("template"))
+    counts = cut(token_counts(old.select("tokens").unionByName(new.select("tokens"))))
+    offers = cut(rare_tokens(old, counts, least))
+    parts = in_blocks(offers, offers).select("token", F.col("_own").alias("_i"), F.col("id.cluster_id").alias("cluster_id"), F.col("tokens").alias("other"))
+    asked = in_blocks(rare_tokens(new, counts, least), offers).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.col("id").alias("template"), "tokens", "token", "_i")
+    close = asked.join(parts, ["token", "_i"]).withColumn("confidence", jaccard(F.col("tokens"), F.col("other"))).filter(F.col("confidence") >= least)
     best = close.groupBy("template").agg(F.max_by(F.struct("cluster_id", "confidence"), F.struct("confidence", "cluster_id")).alias("b")).select("template", "b.*")
     found = exact.unionByName(best)
     out = logs.join(found, "template", "left").withColumns({
