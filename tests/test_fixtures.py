@@ -230,3 +230,15 @@ def test_cycles_over_several_batches_see_the_stored_look_back(spark, tmp_path):
     cycle(spark.createDataFrame([(20 + j, "s", T0 + timedelta(days=2, hours=j)) for j in range(4)], schema), 2)        # a replay changes nothing
     assert I.read_published(spark, f"{out}/report").first().n == 8
     assert drop_expired(spark, out, "rows", T0 + timedelta(days=2)) == 2 and spark.read.parquet(f"{out}/rows").count() == 4
+
+
+def test_context_lists_everything_by_default(spark):
+    one = spark.range(1).select(F.expr("map('m', array(1.0D, 2.0D))").alias("forecasts"), F.expr("array(named_struct('is_new_pattern', true))").alias("recent_predictions"),
+                                F.expr("transform(sequence(9, 1), i -> named_struct('cluster_id', i, 'severities', map(if(i < 9, 'ERROR', 'INFO'), 1)))").alias("patterns"))
+    r = R.model_context(one).first()
+    assert [p.cluster_id for p in r.error_patterns] == list(range(1, 9)) and (r.n_error_patterns, r.total_patterns) == (8, 9)
+    few = R.model_context(one, 2).first()
+    assert [p.cluster_id for p in few.error_patterns] == [1, 2] and few.n_error_patterns == 8
+    rows = spark.range(60).select("id", F.lit("s").alias("service"))
+    lines = lambda *most: R.ranked_section(rows, ["service"], "error_logs", [F.col("id")], F.col("id").cast("string"), *most).count()
+    assert (lines(), lines(7)) == (60, 7)

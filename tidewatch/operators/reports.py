@@ -128,15 +128,16 @@ def stored_analysis(payload: DataFrame) -> DataFrame:
         col("recommendations", empty(RECOMMENDATION)), col("incident_timeline", empty(TIMELINE)), col("raw_response", F.lit("")))
 
 
-# -- fixed values: section order and caps of the report context --------------
+# -- caps of the sections of the registered report context, as its SQL has them --
 SECTIONS = {"error_logs": 40, "slow_traces": 20, "error_traces": 20, "k8s_events": 20, "metrics": 15,
             "warning_logs": 20, "degrading": 15, "improving": 10}
 
 
-def ranked_section(df: DataFrame, run: Sequence[str], section: str, order: Sequence[Column], line: Column) -> DataFrame:
-    """First lines of one section per run, ranked; tasks trim to the cap before the shuffle."""
+def ranked_section(df: DataFrame, run: Sequence[str], section: str, order: Sequence[Column], line: Column, most: int | None = None) -> DataFrame:
+    """Lines of one section per run, ranked, all or the first ``most``; with a cap, tasks trim to it before the shuffle."""
     w = Window.partitionBy(*run).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= SECTIONS[section]).select(
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).select(
         *run, F.lit(section).alias("section"), "rank", line.alias("line"))
 
 
@@ -194,15 +195,18 @@ def incident_timeline(items: DataFrame, gap_seconds: int = 1800) -> DataFrame:
         F.min_by("text", F.struct(*order)).alias("first_item"))
 
 
-def model_context(outputs: DataFrame) -> DataFrame:
-    """Compact summary of the models: end value per metric, number of new patterns, first five error patterns.
+def model_context(outputs: DataFrame, listed: int | None = None) -> DataFrame:
+    """Compact summary of the models: end value per metric, number of new patterns, error patterns by cluster id, all or the first
+    ``listed``, and the number of all of them.
 
     Expects ``forecasts`` (map of metric to values), ``recent_predictions`` (array with ``is_new_pattern``) and
     ``patterns`` (array with ``cluster_id`` and ``severities`` map)."""
     ends = F.transform_values("forecasts", lambda k, v: F.round(F.element_at(v, -1), 4))
     fresh = F.array_size(F.filter("recent_predictions", lambda p: p["is_new_pattern"]))
-    errors = F.slice(F.filter("patterns", lambda p: F.array_contains(F.map_keys(p["severities"]), "ERROR")), 1, 5)
-    return outputs.withColumns({"predicted_end_values": ends, "new_patterns_detected": fresh, "error_patterns": errors,
+    errors = F.filter("patterns", lambda p: F.array_contains(F.map_keys(p["severities"]), "ERROR"))
+    in_turn = F.array_sort(errors, lambda p, q: F.when(p["cluster_id"] < q["cluster_id"], -1).when(p["cluster_id"] > q["cluster_id"], 1).otherwise(0))
+    return outputs.withColumns({"predicted_end_values": ends, "new_patterns_detected": fresh, "n_error_patterns": F.array_size(errors),
+                                "error_patterns": in_turn if listed is None else F.slice(in_turn, 1, listed),
                                 "total_patterns": F.array_size("patterns")})
 
 

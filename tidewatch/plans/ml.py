@@ -341,14 +341,17 @@ def ml_retrain(spark, sf):
   SELECT service, CAST(COUNT(DISTINCT template) AS INT) AS total_patterns, CAST(COUNT(DISTINCT template) FILTER (severity = 'ERROR') AS INT) AS error_patterns, CAST(COUNT(*) FILTER (recent <= 20 AND id % 7 = 0) AS INT) AS new_patterns_detected, {r('ARG_MAX(duration, (timestamp, id))', 4)} AS end_value
   FROM (SELECT t.*, d.duration_ms AS duration, ROW_NUMBER() OVER (PARTITION BY t.service ORDER BY t.timestamp DESC, t.id DESC) AS recent FROM template_v t JOIN traces_v d ON t.id = d.id) GROUP BY 1""", ["template_v", "traces_v"])
 def rpt_ml_context(spark, sf):
+    return ml_context(spark, sf, 20)                # the SQL counts new patterns among the twenty newest predictions
+
+
+def ml_context(spark: SparkSession, sf: str, newest: int | None = None) -> DataFrame:
+    """Numbers of patterns of a service, of those with errors and of new ones, among all predictions or the ``newest``."""
     from tidewatch.operators.queries import top_per_group
-    from tidewatch.operators.reports import model_context
     logs = A.logs(spark, sf).withColumn("template", L.template(F.col("message")))
-    pats = logs.groupBy("service", "template", "severity").agg(F.count(F.lit(1)).alias("n")).groupBy("service").agg(
-        F.collect_list(F.struct(F.col("template").alias("cluster_id"), F.create_map("severity", "n").alias("severities"))).alias("patterns"))
-    # the report carries the twenty newest predictions of a service
-    newest = top_per_group(logs.select("service", "timestamp", "id"), ["service"], [F.desc("timestamp"), F.desc("id")], 20)
-    recent = newest.groupBy("service").agg(F.collect_list(F.struct((F.col("id") % 7 == 0).alias("is_new_pattern"))).alias("recent_predictions"))
-    ends = A.traces(spark, sf).groupBy("service").agg(F.create_map(F.lit("latency_p99"), F.array(F.max_by("duration_ms", F.struct("timestamp", "id")))).alias("forecasts"))
-    out = model_context(pats.join(ends, "service").join(recent, "service", "left").withColumn("recent_predictions", F.coalesce("recent_predictions", F.array().cast("array<struct<is_new_pattern:boolean>>"))))
-    return out.select("service", "total_patterns", F.size("error_patterns").alias("error_patterns"), "new_patterns_detected", sfixed(F.col("predicted_end_values")["latency_p99"], 4).alias("end_value"))
+    pats = logs.groupBy("service", "template").agg((F.count_if(F.col("severity") == "ERROR") > 0).alias("bad")).groupBy("service").agg(
+        F.count(F.lit(1)).cast("int").alias("total_patterns"), F.count_if("bad").cast("int").alias("error_patterns"))
+    seen = logs.select("service", "timestamp", "id")
+    seen = seen if newest is None else top_per_group(seen, ["service"], [F.desc("timestamp"), F.desc("id")], newest)
+    recent = seen.groupBy("service").agg(F.count_if(F.col("id") % 7 == 0).cast("int").alias("new_patterns_detected"))
+    ends = A.traces(spark, sf).groupBy("service").agg(sfixed(F.max_by("duration_ms", F.struct("timestamp", "id")), 4).alias("end_value"))
+    return pats.join(ends, "service").join(recent, "service").select("service", "total_patterns", "error_patterns", "new_patterns_detected", "end_value")

@@ -155,8 +155,9 @@ def snk_store_analysis(spark, sf):
         F.array_size("recommendations").alias("n_recommendations"))
 
 
-def context_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """All eight sections per service (events and metrics have no service and use ``all``)."""
+def context_lines(spark: SparkSession, sf: str, caps: dict[str, int] | None = None) -> DataFrame:
+    """All eight sections per service (events and metrics have no service and use ``all``), whole but for those that ``caps`` names."""
+    section = lambda df, keys, name, order, line: R.ranked_section(df, keys, name, order, line, (caps or {}).get(name))
     logs, traces, run = A.logs(spark, sf), A.traces(spark, sf), ["service"]
     newest = [F.desc("timestamp"), F.desc("id")]
     summary = T.T.trend_summary(T.records(spark, sf)).withColumn("service", F.col("labels")["service_name"])
@@ -164,15 +165,15 @@ def context_lines(spark: SparkSession, sf: str) -> DataFrame:
     metric = A.metrics(spark, sf).groupBy("metric_name").agg(
         F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct("timestamp", "id")).alias("latest")).withColumn("service", F.lit("all"))
     parts = [
-        R.ranked_section(logs.filter(F.col("severity") == "ERROR"), run, "error_logs", newest, R.log_line(300)),
-        R.ranked_section(traces.filter("is_slow").withColumn("duration_ms", F.round("duration_ms", 2)), run, "slow_traces", newest, R.slow_line()),
-        R.ranked_section(traces.filter("has_error").withColumn("duration_ms", F.round("duration_ms", 2)), run, "error_traces", newest, R.trace_line()),
-        R.ranked_section(A.k8s_events(spark, sf).withColumn("service", everything), run, "k8s_events", newest, R.event_line()),
-        R.ranked_section(metric, run, "metrics", [F.col("metric_name")], F.concat(
+        section(logs.filter(F.col("severity") == "ERROR"), run, "error_logs", newest, R.log_line(300)),
+        section(traces.filter("is_slow").withColumn("duration_ms", F.round("duration_ms", 2)), run, "slow_traces", newest, R.slow_line()),
+        section(traces.filter("has_error").withColumn("duration_ms", F.round("duration_ms", 2)), run, "error_traces", newest, R.trace_line()),
+        section(A.k8s_events(spark, sf).withColumn("service", everything), run, "k8s_events", newest, R.event_line()),
+        section(metric, run, "metrics", [F.col("metric_name")], F.concat(
             F.lit("  "), F.col("metric_name"), F.lit(": "), F.col("n").cast("string"), F.lit(" samples, latest="), F.col("latest"))),
-        R.ranked_section(logs.filter(F.col("severity") == "WARN"), run, "warning_logs", newest, R.log_line(200)),
-        R.ranked_section(summary.filter(F.col("class") == "degrading"), run, "degrading", [F.desc("trend_pct"), F.col("query")], R.degrading_line()),
-        R.ranked_section(summary.filter(F.col("class") == "improving"), run, "improving", [F.col("trend_pct"), F.col("query")], R.improving_line()),
+        section(logs.filter(F.col("severity") == "WARN"), run, "warning_logs", newest, R.log_line(200)),
+        section(summary.filter(F.col("class") == "degrading"), run, "degrading", [F.desc("trend_pct"), F.col("query")], R.degrading_line()),
+        section(summary.filter(F.col("class") == "improving"), run, "improving", [F.col("trend_pct"), F.col("query")], R.improving_line()),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -198,7 +199,7 @@ RN = "ROW_NUMBER() OVER (PARTITION BY service ORDER BY timestamp DESC, id DESC):
   UNION ALL SELECT service, 'improving', ROW_NUMBER() OVER (PARTITION BY service ORDER BY trend_pct, query_name)::INT AS rank, '  [' || query_name || '] ' || service || ': ' || PRINTF('%.1f', {r('trend_pct', 1)}) || '% (' || direction || ')' FROM trend_class_v WHERE class = 'improving' QUALIFY rank <= 10)""",
        ["l", "traces_v", "k8s_v", "metrics_v", "trend_class_v"])
 def rpt_context_lines(spark, sf):
-    return context_lines(spark, sf)
+    return context_lines(spark, sf, R.SECTIONS)
 
 
 
