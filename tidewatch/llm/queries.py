@@ -12,6 +12,7 @@ from tidewatch.llm.html_template import main_texts
 from tidewatch.llm.jaccard import similar_documents
 from tidewatch.llm.mixture import mix_sources
 from tidewatch.llm.pii import BASE, with_spans
+from tidewatch.llm.quality import fit_quality, score_quality
 from tidewatch.llm.relative_lz import remove_repeats
 from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
 from tidewatch.llm.vectors import usable
@@ -130,3 +131,15 @@ def op6(spark, sf):
          CASE WHEN said_by = speaker THEN "end" - length(segment) + length(head) END AS mask_start, CASE WHEN said_by = speaker THEN "end" - 1 END AS mask_end FROM e""")
 def op1(spark, sf):
     return rotate_perspectives(table(spark, sf, "conversations"))
+
+
+def in_quality_fold():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+@query("op13_quality")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf, "labels").where(~in_quality_fold()))
+    scored = score_quality(docs, model, "score")
+    return scored.select("doc_id", in_quality_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
