@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.llm.bag_ranking import rank_documents
 from tidewatch.llm.bpe import token_digests
 from tidewatch.llm.catalog import query, table
 from tidewatch.llm.chat import rotate_perspectives
+from tidewatch.llm.collocations import mine_phrases
 from tidewatch.llm.exact_search import exact_top_k
 from tidewatch.llm.hnsw import near_neighbours
 from tidewatch.llm.html_template import main_texts
@@ -143,3 +145,35 @@ def op13(spark, sf):
     model = fit_quality(docs, table(spark, sf, "labels").where(~in_quality_fold()))
     scored = score_quality(docs, model, "score")
     return scored.select("doc_id", in_quality_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_bag_ranking", f"""
+  WITH i AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+  d AS (SELECT doc_id, t, len(t)::BIGINT AS n FROM (SELECT doc_id, {TERMS} AS t FROM documents) WHERE len(t) > 0),
+  s AS (SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM d),
+  f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2, 3),
+  w AS (SELECT term, floor(1000 * ln((2 * s.N + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY 1), s),
+  p AS (SELECT doc_id, term, ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * s.N) // s.L))))::BIGINT AS part FROM f, s),
+  r AS (SELECT item_id, doc_id, sum(q * w * part)::BIGINT AS score FROM i JOIN w USING (term) JOIN p USING (term) GROUP BY 1, 2)
+  SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
+def op11(spark, sf):
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_phrases", r"""
+  WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k))),
+  f AS (SELECT lang, g, count(*)::BIGINT AS a FROM g GROUP BY 1, 2), sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
+  c AS (SELECT * FROM f WHERE len(g) > 1 AND a >= 30),
+  cut AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+          FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+  low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS turn FROM cut) WHERE turn = 1),
+  part AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM c)) GROUP BY 1, 2),
+  kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN part ON part.lang = low.lang AND part.g = low.g WHERE coalesce(100 * longer, 0) < 80 * a)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN sizes USING (lang) WHERE rank <= 2000""")
+def op12(spark, sf):
+    return mine_phrases(table(spark, sf, "documents"))

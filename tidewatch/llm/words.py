@@ -80,9 +80,9 @@ class Words(NamedTuple):
         return slice(int(self.ends[i]), int(self.ends[i + 1]))
 
 
-def grouped_words(texts: pa.Array, lower: bool = False, letters: bool = False) -> Iterator[tuple[int, Words]]:
+def grouped_words(texts: pa.Array, lower: bool = False, letters: bool = False, ends: np.ndarray | None = None) -> Iterator[tuple[int, Words]]:
     """(number of the first text, words) for groups of neighbouring texts; a null is an empty text, ``lower`` turns A-Z to a-z. With ``letters``
-    words also end at every ASCII mark."""
+    words also end at every ASCII mark; ``ends`` tells for each of the 256 bytes whether words end there instead."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -93,7 +93,7 @@ def grouped_words(texts: pa.Array, lower: bool = False, letters: bool = False) -
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, "right")) - 1)
         to = min(to, len(texts))
-        yield at, _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, _MARKS if letters else _SPACE)
+        yield at, _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, ends if ends is not None else _MARKS if letters else _SPACE)
         at = to
 
 
