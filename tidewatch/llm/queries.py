@@ -153,10 +153,10 @@ TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 @query("op11_bag_ranking", f"""
   WITH i AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
   d AS (SELECT doc_id, t, len(t)::BIGINT AS n FROM (SELECT doc_id, {TERMS} AS t FROM documents) WHERE len(t) > 0),
-  s AS (SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM d),
+  s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
   f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2, 3),
-  w AS (SELECT term, floor(1000 * ln((2 * s.N + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY 1), s),
-  p AS (SELECT doc_id, term, ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * s.N) // s.L))))::BIGINT AS part FROM f, s),
+  w AS (SELECT term, floor(1000 * ln((2 * s.docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY 1), s),
+  p AS (SELECT doc_id, term, ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * s.docs) // s.terms))))::BIGINT AS part FROM f, s),
   r AS (SELECT item_id, doc_id, sum(q * w * part)::BIGINT AS score FROM i JOIN w USING (term) JOIN p USING (term) GROUP BY 1, 2)
   SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
 def op11(spark, sf):
