@@ -21,19 +21,6 @@ def test_forest_ranks_planted_outliers(spark, tmp_path):
     assert again == got
 
 
-def test_neighbours_are_exact_across_chunks(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(120, 4))
-    y = rng.integers(0, 2, size=120)
-    df = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(120)], "id int, y double, v array<double>").select(
-        "id", "y", array_to_vector("v").alias("features"))
-    got = {int(r.id): [int(n.id) for n in r.neighbours] for r in RC.nearest_same_class(df, "id", 3, chunk=16).collect()}
-    for i in range(120):
-        d = np.linalg.norm(x - x[i], axis=1)
-        d[(y != y[i]) | (np.arange(120) == i)] = np.inf
-        assert got[i] == list(np.argsort(d)[:3])
-
-
 def test_oversampling_of_classes_of_any_size(spark):
     from pyspark.ml.linalg import Vectors
 

@@ -3,8 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -13,8 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.constants import SEED
-from tidewatch.functions.series import with_position
-from tidewatch.operators.windows import kfold
+from tidewatch.ml.neighbours import nearest_same_class
+from tidewatch.operators.windows import kfold, shuffled_rank
 from tidewatch.session import cut
 
 
@@ -98,68 +96,12 @@ def cross_validate(rows: DataFrame, columns: Sequence[str], label: str = "label"
     return rows.sparkSession.createDataFrame(scores, "fold int, f1_weighted double")
 
 
-# ---- neighbours and oversampling --------------------------------------------
-CHUNK = 512
-
-
-def nearest_same_class(rows: DataFrame, ident: str, k: int = 5, label: str = "y", vector: str = "features", chunk: int = CHUNK) -> DataFrame:
-    """Exact ``k`` nearest rows of the same class: ``ident, y, neighbours`` (array of id, distance, vector).
-
-    Rows of a class are ordered by one coordinate and cut into chunks of fixed size. A first pass finds neighbours
-    inside the own chunk; the distance to the k-th bounds how far along that coordinate a better one can lie, so a
-    second pass only visits the chunks within it. Chunks bound the memory of every task; no pairs are shuffled.
-    """
-    base = rows.select(F.col(ident).cast("string").alias("id"), F.col(label).cast("int").alias("y"), vector_to_array(vector).alias("x"))
-    spread = base.select(*[F.variance(F.get("x", F.lit(i))).alias(str(i)) for i in range(base.select(F.size("x")).first()[0])]).first()
-    axis = max(range(len(spread)), key=lambda i: spread[i] or 0.0)
-    placed = base.withColumn("p", F.get("x", F.lit(axis)))
-    placed = with_position(placed, ["y"], ["p", "id"], None, "pos", "n", block=F.floor(F.col("p") * 64).cast("bigint"))
-    placed = cut(placed.withColumn("c", F.floor(F.col("pos") / chunk).cast("int")).drop("pos"))
-    schema = "id string, y int, p double, x array<double>, n bigint, c int, best array<struct<d:double,id:string,x:array<double>>>"
-
-    def find(q: pd.DataFrame, pts: pd.DataFrame) -> list[list[dict]]:
-        a, b = np.stack(q.x.values), np.stack(pts.x.values)
-        d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-        d = np.sqrt(d2)
-        d[q.id.values[:, None] == pts.id.values[None, :]] = np.inf
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return [[{"d": float(d[i, j]), "id": pts.id.values[j], "x": pts.x.values[j].tolist()} for j in row if np.isfinite(d[i, j])] for i, row in enumerate(take)]
-
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(best=find(pdf, pdf))
-
-    first = cut(placed.groupBy("y", "c").applyInPandas(own, schema))
-    ends = placed.groupBy("y", "c").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    reach = F.when(F.size("best") < k, F.lit(float("inf"))).otherwise(F.element_at("best", -1)["d"])
-    # one row per class: the axis is binned so that the interval test becomes an equi join on the bin
-    spans = F.broadcast(ends.groupBy("y").agg(F.min("lo").alias("a"), F.max("hi").alias("z"), F.count(F.lit(1)).alias("nc")))
-    width = F.when(F.col("z") > F.col("a"), (F.col("z") - F.col("a")) / F.col("nc")).otherwise(F.lit(1.0))
-    bin_of = lambda v: F.floor((F.least(F.greatest(v, F.col("a")), F.col("z")) - F.col("a")) / width).cast("bigint")
-    homes = ends.join(spans, "y").select("y", "c", "lo", "hi", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))).alias("bin"))
-    asks = first.withColumn("r", reach).select("id", "y", "p", "x", "r", F.col("c").alias("home")).join(spans, "y").filter("nc > 1").withColumn(
-        "bin", F.explode(F.sequence(bin_of(F.col("p") - F.col("r")), bin_of(F.col("p") + F.col("r")))))
-    asks = asks.join(homes, ["y", "bin"]).filter(
-        (F.col("c") != F.col("home")) & (F.col("lo") <= F.col("p") + F.col("r")) & (F.col("hi") >= F.col("p") - F.col("r"))).dropDuplicates(["id", "y", "c"])
-    salts = 16
-    asks = asks.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).select("id", "y", "x", "c", "s")
-    pts = placed.select("id", "y", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-
-    def visit(q: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(points):
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("id", object), ("y", "int32"), ("best", object))})
-        return pd.DataFrame({"id": q.id.values, "y": q.y.values, "best": find(q, points)})
-
-    more = asks.groupBy("y", "c", "s").cogroup(pts.groupBy("y", "c", "s")).applyInPandas(visit, "id string, y int, best array<struct<d:double,id:string,x:array<double>>>")
-    both = first.select("id", "y", "best").unionByName(more)
-    merged = both.groupBy("id", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("neighbours"))
-    return merged.select(F.col("id").alias(ident), "y", "neighbours")
-
-
-def smote(rows: DataFrame, ident: str = "window_id", k: int = 5, seed: int = SEED) -> DataFrame:
+# ---- oversampling -----------------------------------------------------------
+def smote(rows: DataFrame, ident: str = "window_id", k: int = 5, seed: int = SEED, exact: bool = True) -> DataFrame:
     """Oversample every class to the size of the largest by interpolation towards a near neighbour of the class.
 
     Rows ``ident, y, features``. A class has up to ``k`` neighbours per row, fewer if it is smaller; the row of a class with a single one is
-    repeated. Left unchanged with one class.
+    repeated. Left unchanged with one class. ``exact=False`` takes the neighbours that the forest of ``neighbours`` finds, for many features.
     """
     rows = cut(rows)
     counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()        # one row per class
@@ -170,10 +112,9 @@ def smote(rows: DataFrame, ident: str = "window_id", k: int = 5, seed: int = SEE
     short = {y: (top - n, n) for y, n in sizes.items() if n < top}
     if not short:
         return rows
-    near = nearest_same_class(rows.filter(F.col("y").isin([float(y) for y in short])), ident, k)
+    near = nearest_same_class(rows.filter(F.col("y").isin([float(y) for y in short])), ident, k, exact=exact)
     need = F.create_map(*[F.lit(x) for y, (m, n) in short.items() for x in (y, m)])
     have = F.create_map(*[F.lit(x) for y, (m, n) in short.items() for x in (y, n)])
-    from tidewatch.operators.windows import shuffled_rank
     base = rows.select(F.col(ident).cast("string").alias(ident), F.col("y").cast("int").alias("y"), vector_to_array("features").alias("x"))
     ranked = shuffled_rank(base.filter(F.col("y").isin(list(short))), "y", ident, seed)
     # every row makes floor(need / n) copies, the first `need % n` rows of the shuffle one more

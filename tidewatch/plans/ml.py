@@ -16,6 +16,7 @@ from tidewatch.ml import logs as L
 from tidewatch.ml import pipeline as P
 from tidewatch.ml import reconstruction as RE
 from tidewatch.ml import rootcause as RC
+from tidewatch.ml.neighbours import nearest_same_class
 from tidewatch.operators import evaluation as V
 from tidewatch.operators import windows as OW
 from tidewatch.operators.aggregates import mode_label
@@ -184,7 +185,7 @@ def ml_feature_importance(spark, sf):
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank < 5""")
 def join_knn_minority(spark, sf):
     rows = A.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    near = RC.nearest_same_class(rows, "vec_id", 5)
+    near = nearest_same_class(rows, "vec_id", 5)
     return near.select(F.col("vec_id").cast("bigint").alias("id"), "y", F.posexplode("neighbours").alias("rank", "t")).select(
         "id", "y", "rank", F.col("t.id").cast("bigint").alias("neighbour"), sfixed("t.d", 5).alias("distance"))
 
