@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.bpe import encode_documents
 from tidewatch.llm.columns import free
-from tidewatch.llm.jaccard import similar_documents
+from tidewatch.llm.jaccard import row_key, similar_rows
+from tidewatch.llm.memory import small_batches
 from tidewatch.llm.mixture import take_copies
 from tidewatch.llm.pii import redact
 from tidewatch.llm.toxicity import fit_toxicity, score_toxicity
@@ -23,24 +24,28 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5; the model is fitted on the texts of ``docs`` that the labels cover."""
+    small_batches(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score, = free(docs, "toxicity_score")
     return score_toxicity(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles with a Jaccard coefficient of 0.8 or more the document with the smallest doc_id. Documents
-    without words, or without doc_id, are in no group and stay; of rows that share a doc_id one stays, that with the smallest hash of its text."""
+    """Of each group linked by five-word shingles with a Jaccard coefficient of 0.8 or more the row with the smallest doc_id. Rows without words, or
+    without doc_id, are in no group and stay; rows with equal doc_id and text stay once. Rows that share a doc_id but not their text are taken
+    each for itself, so no text goes without another of its group that stays."""
+    small_batches(spark)
     folder = run_dir(spark, "near-duplicates")
-    found = similar_documents(docs, width=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
-    found.write.parquet(f"{folder}/dropped")
-    docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").write.parquet(f"{folder}/repeated")
-    dropped, repeated = (broadcast_if_small(spark.read.parquet(f"{folder}/{name}")) for name in ("dropped", "repeated"))
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    turn, = free(docs, "row_in_doc")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn(turn, first).where(F.col(turn) == 1).drop(turn)
+    similar_rows(docs, width=5, percent=80).where("row != first").select("row").distinct().write.parquet(f"{folder}/dropped")
+    row, turn = free(docs, "row", "turn")
+    keyed = docs.withColumn(row, row_key())
+    keyed.where(F.col(row).isNotNull()).groupBy(row).count().where("count > 1").select(row).write.parquet(f"{folder}/repeated")
+    dropped = broadcast_if_small(spark.read.parquet(f"{folder}/dropped").withColumnRenamed("row", row))
+    repeated = broadcast_if_small(spark.read.parquet(f"{folder}/repeated"))
+    kept = keyed.join(dropped, row, "left_anti")
+    once = kept.join(repeated, row, "left_anti")
+    first = F.row_number().over(Window.partitionBy(row).orderBy(*[c for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]))
+    again = kept.join(repeated, row, "left_semi").withColumn(turn, first).where(F.col(turn) == 1)
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 

@@ -70,6 +70,17 @@ def test_similar_documents(spark, monkeypatch, seed, width, percent, agree, bloc
     assert got == brute_components(rows, width, percent)
 
 
+def test_rows_that_share_a_doc_id_are_compared_each_with_its_own_text(spark):
+    rng = random.Random(9)
+    words = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    long, short, other = words("l", 400), words("s", 100), words("o", 90)
+    near = short[:98] + ["changed", "end"]
+    rows = [(10, " ".join(long)), (10, " ".join(short)), (3, " ".join(near)), (7, " ".join(long[:395])), (8, " ".join(other)), (10, ""), (12, " ".join(other) + " more")]
+    rows = [(i, t, "s") for i, t in rows]
+    got = Counter(tuple(r) for r in similar_documents(documents(spark, rows), 4, 85).collect())
+    assert {(i, c) for i, n, c in got if n} == {(10, 3), (3, 3), (7, 3), (8, 8), (12, 8)} and sum(got.values()) == len(rows)
+
+
 def test_plans_cover_all_differences():
     for percent in (80, 85, 95):
         for size in [*range(1, 60), 100, 777, 5000]:

@@ -24,9 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.llm.graph import components
+from tidewatch.llm.memory import releasing
 from tidewatch.llm.words import as_long, gram_hashes, grouped_words, mix
 from tidewatch.session import broadcast_if_small, cut, run_dir
 
@@ -65,7 +66,7 @@ def _profile(width: int):
             marks = totals[:, ends[1:]] - totals[:, ends[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(np.diff(ends)), *(pa.array(as_long(m)) for m in marks), pa.array(map(_sketch, sets), pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
+                names=["row", "n_shingles", "f1", "f2", "sketch"])
     return run
 
 
@@ -219,7 +220,7 @@ def _signatures(width: int, percent: int, documents: int):
 
 def _signature_batch(out: list) -> pa.RecordBatch:
     k, i, n, r = (np.concatenate(x) for x in zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(i), pa.array(n), pa.array(r)], names=["key", "doc_id", "size", "role"])
+    return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(i), pa.array(n), pa.array(r)], names=["key", "row", "size", "role"])
 
 
 def _plausible(percent: int):
@@ -239,10 +240,10 @@ def _plausible(percent: int):
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. Texts travel, not hashes: they are shorter and compress."""
-    left = docs.join(broadcast_if_small(pairs), F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
-    right = docs.join(broadcast_if_small(pairs.select("a").distinct()), F.col("doc_id") == F.col("a"), "left_semi").select("doc_id", F.col("text").alias("text_a"))
-    both = left.join(right, F.col("a") == F.col("doc_id")).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare(width, percent), "a long, b long").distinct()
+    left = docs.join(broadcast_if_small(pairs), F.col("row") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    right = docs.join(broadcast_if_small(pairs.select("a").distinct()), F.col("row") == F.col("a"), "left_semi").select("row", F.col("text").alias("text_a"))
+    both = left.join(right, F.col("a") == F.col("row")).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(releasing(_compare(width, percent)), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -251,49 +252,74 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     ``docs`` needs doc_id and text; other columns are ignored. Words are those of ``words.py``, in lower case (A-Z only). Two documents are linked when
     their distinct ``width``-word shingles have a Jaccard coefficient of at least ``percent``/100. A text with fewer words counts as one
     shingle; a null, empty or blank text has an empty set and is linked with nothing. A row whose doc_id is null is linked with nothing and has
-    a null component. Rows that share a doc_id are one document for the links (each keeps its own n_shingles). An empty table gives no rows.
+    a null component. Rows that share a doc_id are compared each with its own text and are one document for the links (each keeps its own
+    n_shingles; without words it is in no group). An empty table gives no rows.
     """
+    return _groups(docs, width, percent, True).select("doc_id", "n_shingles", F.col("low").alias("component_id"))
+
+
+def row_key() -> Column:
+    """What tells rows apart: doc_id and text; null without doc_id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+
+
+def similar_rows(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, row, n_shingles, first: like ``similar_documents``, but of rows, so that different texts with one doc_id are not linked by that.
+
+    ``row`` is the row's ``row_key`` and ``first`` that of the row with the smallest doc_id (then key) in its group.
+    """
+    return _groups(docs, width, percent, False).select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low.row")).otherwise(F.col("row")).alias("first"))
+
+
+def _groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame:
+    """doc_id, row, n_shingles and the smallest of the row's group: its doc_id with ``by_id``, where rows of one doc_id are linked, else (doc_id, row)."""
     spark, folder = docs.sparkSession, run_dir(docs.sparkSession, "jaccard")
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    profile = kept(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "profile")
-    classes = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = classes.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = cut(classes.join(first, ["f1", "f2"]).select("doc_id", "rep").distinct())     # more than one row where rows share a doc_id
-    # One representative per document; further ones are links.
-    rep_of = reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    extra = reps.join(rep_of.withColumnRenamed("rep", "a"), "doc_id").where("rep != a").select("a", F.col("rep").alias("b"))
+    # Rows are the nodes, by the hash of doc_id and text; equal rows are one.
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = named.select(row_key().alias("row"), "text")
+    profile = kept(docs.mapInArrow(releasing(_profile(width)), "row long, n_shingles long, f1 long, f2 long, sketch binary"), "profile")
+    classes = profile.where("n_shingles > 0 AND row IS NOT NULL")
+    first = classes.groupBy("f1", "f2").agg(F.min("row").alias("rep"))
+    rep_of = cut(classes.join(first, ["f1", "f2"]).select("row", "rep").distinct())
+    names = named.where("doc_id IS NOT NULL").select("doc_id", row_key().alias("row")).distinct()
+    names = kept(names.join(rep_of, "row", "left"), "names")
+    shared = names.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").select("doc_id", "a")
+    extra = names.join(shared, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()       # rows of one document
 
     documents = 1 << max(first.count(), 1).bit_length()
-    signatures = docs.mapInArrow(_signatures(width, percent, documents), "key long, doc_id long, size int, role byte")
-    by_key = Window.partitionBy("key").orderBy("size", "doc_id")
-    centred = signatures.withColumn("center", F.first("doc_id").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    centred = centred.withColumn("more", F.lead("doc_id").over(by_key)).where("more IS NOT NULL OR center != doc_id").drop("more")
-    groups = kept(centred.select("key", "doc_id", "role"), "groups")       # only keys with several rows
+    signatures = docs.mapInArrow(releasing(_signatures(width, percent, documents)), "key long, row long, size int, role byte")
+    by_key = Window.partitionBy("key").orderBy("size", "row")
+    centred = signatures.withColumn("center", F.first("row").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    centred = centred.withColumn("more", F.lead("row").over(by_key)).where("more IS NOT NULL OR center != row").drop("more")
+    groups = kept(centred.select("key", "row", "role"), "groups")          # only keys with several rows
     probed = groups.where(f"role & {PROBE | PROBE_LESS} > 0").select("key").distinct()
-    rows = groups.join(probed, "key", "left_semi").join(rep_of, "doc_id").select("key", "rep").distinct()
+    rows = groups.join(probed, "key", "left_semi").join(rep_of, "row").select("key", "rep").distinct()
     meets = rows.groupBy("rep").agg(F.count("*").alias("meets"))
     rows = rows.join(meets, "rep")
     centers = rows.groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("center"))
     star = kept(rows.join(centers, "key").where("center != rep").groupBy("center", "rep").agg(F.count("*").alias("shared")), "star")
     best = star.groupBy(F.col("rep").alias("b")).agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("a")).select("a", "b")
-    sketches = profile.join(rep_of.where("doc_id = rep"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch"), "n_shingles").alias("s"))
-    sketches = sketches.select("doc_id", "s.n_shingles", "s.sketch")
-    one, two = (sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    best = best.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long")
-    links = cut(_verify(docs, kept(best, "best"), width, percent).unionByName(extra))
+    sketches = profile.join(rep_of.where("row = rep").select("row"), "row", "left_semi").groupBy("row").agg(F.any_value(F.struct("n_shingles", "sketch")).alias("s"))
+    sketches = sketches.select("row", "s.n_shingles", "s.sketch")
+    one, two = (sketches.select(F.col("row").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    best = best.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(releasing(_plausible(percent)), "a long, b long")
+    links = _verify(docs, kept(best, "best"), width, percent)
+    links = cut(links.unionByName(extra) if by_id else links)
     for step in ("nearest", "every"):
         pairs = kept(_across(star, components(links), sketches, percent, step == "nearest"), step)
         links = cut(links.unionByName(_verify(docs, pairs, width, percent)))
     whole = components(links)
-    final = rep_of.join(whole, rep_of.rep == whole.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    linked = profile.join(final, "doc_id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", own.alias("component_id"))
+    smallest = F.min("doc_id") if by_id else F.min(F.struct("doc_id", "row"))
+    low = names.where("rep IS NOT NULL").groupBy("rep").agg(smallest.alias("low")).join(whole, F.col("rep") == F.col("node"), "left")
+    low = kept(low.select("rep", F.coalesce("component", "rep").alias("component"), "low"), "low")
+    lowest = low.join(low.groupBy("component").agg(F.min("low").alias("low")).withColumnRenamed("low", "lowest"), "component").select("rep", F.col("lowest").alias("low"))
+    linked = profile.join(names.join(lowest, "rep", "left").select("row", "doc_id", "low"), "row", "left")
+    return linked.withColumn("low", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))) if by_id else linked
 
 
 def _across(star: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -306,7 +332,7 @@ def _across(star: DataFrame, found: DataFrame, sketches: DataFrame, percent: int
     groups = groups.where("n < all").select("center", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
                                             F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("probe_blocks"))
     members = members.join(groups, "center").withColumn("probe", F.col("component") != F.col("largest"))
-    members = members.join(sketches, F.col("rep") == F.col("doc_id"))
+    members = members.join(sketches, F.col("rep") == F.col("row"))
     place = lambda n, salt: F.pmod(F.xxhash64(F.col("rep"), F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = F.transform(every("probe_blocks"), lambda j: F.struct(place("blocks", 1).alias("i"), j.alias("j"), F.lit(0).alias("side")))

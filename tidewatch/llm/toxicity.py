@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.llm.memory import releasing
 from tidewatch.llm.words import as_long, grouped_words
 from tidewatch.session import broadcast_if_small, run_dir
 
@@ -144,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Mo
     bias = float(np.log(share / (1 - share)))
     if toxic == 0 or toxic == n:
         return Model(np.empty(0, np.uint64), bias)
-    counts = labelled.select("text", "toxic").mapInArrow(_counts, "term long, texts long, toxic long")
+    counts = labelled.select("text", "toxic").mapInArrow(releasing(_counts), "term long, texts long, toxic long")
     counts = counts.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where(F.col("texts") >= LEAST)
     counts.write.parquet(f"{folder}/terms")
     counts, base = spark.read.parquet(f"{folder}/terms"), toxic / n
@@ -154,7 +155,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Mo
     chance = 2 * float(np.log(max(counts.count(), 2)))
     counts = counts.select("term", ratio.alias("ratio")).where(F.col("ratio") >= chance).orderBy(F.desc("ratio"), "term").limit(TERMS)
     known = np.sort(np.array([r.term for r in counts.select("term").collect()], np.int64).view(np.uint64))      # at most TERMS
-    rows = labelled.mapInArrow(_rows(known), "toxic long, place long, terms array<int>").toArrow()               # at most ``sample`` rows
+    rows = labelled.mapInArrow(releasing(_rows(known)), "toxic long, place long, terms array<int>").toArrow()               # at most ``sample`` rows
     rows = rows.sort_by([("place", "ascending"), ("toxic", "ascending")]).combine_chunks()
     lists = rows["terms"].combine_chunks()
     model = Model(known, bias)
@@ -177,4 +178,4 @@ def score_toxicity(docs: DataFrame, model: Model, column: str = "toxicity") -> D
                 scores[start : start + n] = _sigmoid(own.logits(n, text, term)[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
