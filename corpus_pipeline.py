@@ -61,10 +61,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded of each document."""
+    """doc_id, n_tokens, ids, decoded of each document. Workers hold less than by default, as executors still have the memory of the stages before."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    small_batches(spark)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, group=1_000_000, kept=250_000, tokens=250_000)
 
 
 STAGES = [

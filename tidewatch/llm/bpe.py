@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.memory import releasing
+
 #: Characters of text whose new pieces are encoded together, pieces kept, and tokens and rounds of one recursive query.
 GROUP, KEPT, TOKENS, ROUNDS = 4_000_000, 900_000, 1_000_000, 32
 #: Bytes of a part from which the heap is used.
@@ -44,12 +46,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Pieces of text to tokens; keeps what it encoded, about ``KEPT`` pieces (340 bytes each), over the tasks of a Python worker."""
+    """Pieces of text to tokens; keeps what it encoded, about ``most`` pieces (340 bytes each), over the tasks of a Python worker. A query takes
+    about ``tokens`` bytes at a time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most: int = KEPT, tokens: int = TOKENS):
         import duckdb
 
-        self.ranks, self.kept = ranks, {}
+        self.ranks, self.kept, self.most, self.tokens = ranks, {}, most, tokens
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.inner = np.zeros(1 << 16, bool)                             # pairs of bytes that some token holds side by side
         for t in ranks:
@@ -67,8 +70,8 @@ class Encoder:
         self.db.unregister("rows_in")
 
     def forget(self) -> None:
-        """Drops the older half of the pieces when there are more than ``KEPT``."""
-        if len(self.kept) > KEPT:
+        """Drops the older half of the pieces when there are more than ``most``."""
+        if len(self.kept) > self.most:
             for piece in list(islice(self.kept, len(self.kept) // 2)):
                 del self.kept[piece]
 
@@ -79,7 +82,7 @@ class Encoder:
         start, size = 0, 0
         for i, r in enumerate(raw):
             size += len(r)
-            if size >= TOKENS or i + 1 == len(raw):
+            if size >= self.tokens or i + 1 == len(raw):
                 self._run(new[start : i + 1], raw[start : i + 1])
                 start, size = i + 1, 0
 
@@ -143,27 +146,27 @@ class Encoder:
                                   FROM final f JOIN vocabulary v ON v.token = f.token JOIN parts p ON p.word = f.word GROUP BY piece""").fetchall()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str, ranks) -> Encoder:
+def _encoder(path: str, ranks, *sizes: int) -> Encoder:
     """The encoder of this Python worker, which outlives a task. (A task's own function gets copies of the module's variables; this one does not.)"""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(ranks.value)
-    return _ENCODERS[path]
+    if (path, *sizes) not in _ENCODERS:
+        _ENCODERS[path, *sizes] = Encoder(ranks.value, *sizes)
+    return _ENCODERS[path, *sizes]
 
 
-def _encode(path: str, pattern: str, ranks, with_text: bool):
+def _encode(path: str, pattern: str, ranks, with_text: bool, group: int, *sizes: int):
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        encoder = _encoder(path, ranks)
+        encoder = _encoder(path, ranks, *sizes)
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1), 0
             while at < len(texts):
                 pieces, size, start = [], 0, at
-                while at < len(texts) and size < GROUP:
+                while at < len(texts) and size < group:
                     text = texts[at].as_py() or ""
                     size += len(text)
                     pieces.append(find(text))
@@ -184,22 +187,22 @@ def _encode(path: str, pattern: str, ranks, with_text: bool):
     return run
 
 
-def _apply(docs: DataFrame, path: str, pattern: str, schema: str, with_text: bool) -> DataFrame:
+def _apply(docs: DataFrame, path: str, pattern: str, schema: str, with_text: bool, *sizes: int) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))          # a vocabulary: its size does not depend on the data
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, pattern, ranks, with_text), f"doc_id {kind}, n_tokens long, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(releasing(_encode(path, pattern, ranks, with_text, *sizes)), f"doc_id {kind}, n_tokens long, {schema}")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, group: int = GROUP, kept: int = KEPT, tokens: int = TOKENS) -> DataFrame:
     """doc_id, n_tokens, ids, decoded: the tokens of each text by the rank file at ``path``, and the text that they decode to.
 
     Each match of ``pattern`` is encoded by itself, without special tokens; characters that it does not match are left out. ``docs`` needs doc_id
     and text. A null or empty text has no tokens. Rows are independent of each other; an empty table gives no rows. The file has to be readable
-    on the driver only.
+    on the driver only. ``group``, ``kept`` and ``tokens`` bound what a worker holds (characters, pieces, bytes of a query) and change no result.
     """
-    return _apply(docs, path, pattern, "ids array<int>, decoded string", True)
+    return _apply(docs, path, pattern, "ids array<int>, decoded string", True, group, kept, tokens)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded as in ``encode_documents``, with SHA-256 digests for the ids joined by commas and for the decoded bytes."""
-    return _apply(docs, path, pattern, "ids string, decoded string", False)
+    return _apply(docs, path, pattern, "ids string, decoded string", False, GROUP, KEPT, TOKENS)
