@@ -9,6 +9,7 @@ from tidewatch.functions import scalar as S
 from tidewatch.functions.ranks import exact_percentiles
 from tidewatch.functions.series import with_last, with_position, with_previous
 from tidewatch.ml import logs as L
+from tidewatch.ml.density import components
 from tidewatch.ml.forecast import breach_alerts
 from tidewatch.operators import aggregates as G
 from tidewatch.operators import evaluation as V
@@ -182,7 +183,7 @@ def test_all_similar_templates_are_linked_and_offered(spark, monkeypatch):
 def test_components_chain(spark):
     nodes = spark.range(40).select(F.col("id"))
     links = spark.range(1, 30).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
-    roots = {r.id: r.root for r in L.components(nodes, links).collect()}
+    roots = {r.id: r.root for r in components(nodes, links).collect()}
     assert all(roots[i] == 0 for i in range(30)) and all(roots[i] == i for i in range(30, 40))
 
 

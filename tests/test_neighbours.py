@@ -53,13 +53,13 @@ def test_no_group_is_large_and_few_pairs_are_measured(spark, tmp_path):
         d = np.sqrt(((x - x[int(i)]) ** 2).sum(1))
         d[int(i)] = np.inf
         want[i] = [f"{j:05d}" for j in np.argsort(d)[:5]]
-    got = {r.id: [q.id for q in r.neighbours] for r in N.nearest_same_class(rows, "id", 5, measured=measured, leaf=128).collect()}
+    got = {r.id: [q.id for q in r.neighbours] for r in N.nearest_same_class(rows, "id", 5, measured=measured, leaf=64).collect()}
     assert all(got[i] == w for i, w in want.items()) and sum(measured.values()) < 0.1 * n * n
     fast = {r.id: {q.id for q in r.neighbours} for r in N.nearest_same_class(rows, "id", 5, exact=False).collect()}
     assert sum(len(fast[i] & set(w)) for i, w in want.items()) >= 0.9 * 5 * len(want)
     points = spark.createDataFrame([(0, f"{i}", v.tolist()) for i, v in enumerate(x)], "y int, gid string, x array<double>")
-    sizes = N.leaves(points, 2, 128, str(tmp_path / "leaves")).groupBy("tree", "node").count().toPandas()
-    assert sizes.groupby("tree")["count"].sum().tolist() == [n, n] and sizes["count"].max() <= 128
+    sizes = N.leaves(points, 2, 64, str(tmp_path / "leaves")).groupBy("tree", "node").count().toPandas()
+    assert sizes.groupby("tree")["count"].sum().tolist() == [n, n] and sizes["count"].max() <= 64
     assert max(N.LEAF, N.SAMPLE, N.GROUP) <= 2000
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.series import micros, row_frames, with_position
+from tidewatch.ml.density import density_clusters
 from tidewatch.session import broadcast_if_small, cut
 
 # -- fixed values: masks of variable parts, applied in this order -------------
@@ -23,6 +24,7 @@ MASKS = [
 MIN_CLUSTER = 5
 MIN_SAMPLES = 3
 MIN_SIMILARITY = 0.6
+LEVELS = 100                         # levels of distance between equal and wholly different templates
 BLOCK = 1000
 
 
@@ -85,7 +87,7 @@ def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def similar_pairs(t: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """All links ``a, b`` (``b`` the smaller id) between templates with a Jaccard coefficient of at least ``least``, which is above 0.
+    """All links ``a, b, similarity`` (``b`` the smaller id) between templates with a Jaccard coefficient of at least ``least``, which is above 0.
 
     Pairs that share one of their rare tokens are verified. The templates of a token meet in cells of about ``BLOCK`` by ``BLOCK``, so
     that no task gets all the pairs of a full one."""
@@ -94,48 +96,31 @@ def similar_pairs(t: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     left = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_own")))).select("token", F.col("_own").alias("_i"), F.col("_to").alias("_j"), F.col("id").alias("x"), F.col("tokens").alias("tx"))
     right = own.withColumn("_from", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).select("token", F.col("_from").alias("_i"), F.col("_own").alias("_j"), F.col("id").alias("y"), F.col("tokens").alias("ty"))
     apart = (F.col("_i") != F.col("_j")) | (F.col("x") > F.col("y"))
-    links = left.join(right, ["token", "_i", "_j"]).filter(apart & (jaccard(F.col("tx"), F.col("ty")) >= least))
-    return links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``id, root``: the smallest id that each node is connected to. Every round takes neighbour minima, then jumps to the
-    root's root; lineage is cut by a checkpoint per round."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
-        lows = both.join(state.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
-        step = state.join(lows, "id", "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("near"))
-        jump = step.join(state.select(F.col("id").alias("near"), F.col("root").alias("far")), "near", "left")
-        new = cut(jump.select("id", F.col("root").alias("old"), F.least("near", F.coalesce("far", "near")).alias("root")))
-        changed = not new.filter("root <> old").isEmpty()
-        state = new.select("id", "root")
-        if not changed:
-            return state
-    raise RuntimeError("components did not settle")
-
-
-def cluster(logs: DataFrame, message: str = "message", least: float = MIN_SIMILARITY) -> DataFrame:
-    """``template, n, cluster_id``: density clusters of templates; -1 is noise.
-
-    A template is dense when it and its linked templates hold at least three messages; clusters are connected dense
-    templates with at least five messages. The cluster id is the smallest template hash in it.
+    links = left.join(right, ["token", "_i", "_j"]).filter(apart).withColumn("similarity", jaccard(F.col("tx"), F.col("ty"))).filter(F.col("similarity") >= least)
+    return links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "similarity").distinct()
+
+
+def template_id(t: str = "template") -> Column:
+    """Sixty bits of the digest of a template."""
+    return F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("bigint")
+
+
+def cluster(logs: DataFrame, message: str = "message", least: float = MIN_SIMILARITY, smallest: int = MIN_CLUSTER, samples: int = MIN_SAMPLES) -> DataFrame:
+    """``template, n, cluster_id``: hierarchical density clusters of templates, a message being a point; -1 is noise.
+
+    The distance of two templates is one less their Jaccard coefficient, in hundredths rounded up; templates less similar than ``least`` are never
+    joined. The cluster id is the smallest ``template_id`` in it. See ``density`` for what is a cluster.
     """
-    t = cut(templates(logs, message).withColumn("id", F.xxhash64("template")).withColumn("tokens", tokens_of()))
-    links = cut(similar_pairs(t, least))
-    weight = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(t.select(F.col("id").alias("b"), "n"), "b").groupBy(
-        F.col("a").alias("id")).agg(F.sum("n").alias("w"))
-    dense = t.join(weight, "id", "left").select("id", (F.col("n") + F.coalesce("w", F.lit(0)) >= MIN_SAMPLES).alias("dense"))
-    core = dense.filter("dense").select("id")
-    kept = links.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    roots = components(core, kept)
-    sized = t.join(roots, "id", "left")
-    sizes = sized.filter("root IS NOT NULL").groupBy("root").agg(F.sum("n").alias("size"))
-    return sized.join(sizes, "root", "left").select("template", "n", F.when(F.col("size") >= MIN_CLUSTER, F.col("root")).otherwise(F.lit(-1)).alias("cluster_id"))
+    t = cut(templates(logs, message).where("template IS NOT NULL").withColumn("id", template_id()).withColumn("tokens", tokens_of()))
+    level = F.greatest(F.lit(1), F.ceil(LEVELS * (1 - F.col("similarity")) - 1e-9)).cast("int")
+    pairs = similar_pairs(t, least).select("a", "b", level.alias("level"))
+    labels = density_clusters(t.select("id", "n"), pairs, round(LEVELS * (1 - least)), smallest, samples)
+    return t.join(labels, "id").select("template", "n", F.coalesce("label", F.lit(-1)).alias("cluster_id"))
 
 
 def with_cluster(logs: DataFrame, clusters: DataFrame, message: str = "message") -> DataFrame:
-    return logs.withColumn("template", template(F.col(message))).join(clusters.select("template", "cluster_id"), "template")
+    """Lines with the cluster of their template. Where the clusters are many, a template's lines are dealt out by the skew join."""
+    return logs.withColumn("template", template(F.col(message))).join(broadcast_if_small(clusters.select("template", "cluster_id")), "template")
 
 
 # ---- patterns ---------------------------------------------------------------
@@ -185,7 +170,7 @@ def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None =
     close = asked.join(parts, ["token", "_i"]).withColumn("confidence", jaccard(F.col("tokens"), F.col("other"))).filter(F.col("confidence") >= least)
     best = close.groupBy("template").agg(F.max_by(F.struct("cluster_id", "confidence"), F.struct("confidence", "cluster_id")).alias("b")).select("template", "b.*")
     found = exact.unionByName(best)
-    out = logs.join(found, "template", "left").withColumns({
+    out = logs.join(broadcast_if_small(cut(found)), "template", "left").withColumns({
         "cluster_id": F.coalesce("cluster_id", F.lit(-1)), "confidence": F.round(F.coalesce("confidence", F.lit(0.0)), 4)}).withColumn("is_new_pattern", F.col("cluster_id") == -1)
     if labels is not None:
         out = out.join(labels.select("cluster_id", "label"), "cluster_id", "left").withColumn("cluster_label", F.coalesce("label", F.lit("unknown/new_pattern"))).drop("label")

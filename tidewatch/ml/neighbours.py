@@ -85,14 +85,20 @@ def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def leaves(points: DataFrame, trees: int, leaf: int, folder: str) -> DataFrame:
-    """``y, tree, node, gid, x``: each point (y, gid, x) in a leaf of every tree, of at most ``leaf`` points. The path of a node is its number."""
+    """``y, tree, node, gid, x``: each point (y, gid, x) in a leaf of every tree, of at most ``leaf`` points. The path of a node is its number.
+
+    A class of at most ``leaf`` points is one leaf of the first tree."""
     spark, turn, done = points.sparkSession, 0, []
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}-{turn}")
         return spark.read.parquet(f"{folder}/{name}-{turn}")
 
-    state = written(points.select("y", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("node"), "gid", "x"), "state")
+    large = written(points.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).select("y", F.lit(trees - 1).alias("more")), "large")
+    if large.isEmpty():
+        return points.select("y", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"), "gid", "x")
+    grown = points.join(broadcast_if_small(large), "y", "left")
+    state = written(grown.select("y", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0)))).alias("tree"), F.lit(1).cast("long").alias("node"), "gid", "x"), "state")
     while True:
         big = written(state.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "big")
         if big.isEmpty():
@@ -268,7 +274,7 @@ def nearest_same_class(rows: DataFrame, ident: str, k: int = 5, label: str = "y"
     best = written(_best(own, k), "first")
     if measured is not None:
         measured["forest"] = pair_count(grown, *NODE)
-    if exact:
+    if exact and not grown.where("node > 1").isEmpty():                      # else every point has met all of its class
         reach = best.groupBy("y", "gid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach"))
         first = grown.where("tree = 0").select("y", "node", "gid", "x")
         bound = groups.select("y", "gid").join(reach, ["y", "gid"], "left").select("y", "gid", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))

@@ -209,7 +209,8 @@ MASK_SQL = "message"
 for _p, _m in L.MASKS:
     MASK_SQL = f"REGEXP_REPLACE({MASK_SQL}, '{_p.replace(chr(39), chr(39) * 2)}', '{_m}', 'g')"
 add_view("template_v", f"SELECT *, {MASK_SQL} AS template FROM logs_v", "logs_v")
-add_view("clustered_v", "SELECT *, CAST(DENSE_RANK() OVER (ORDER BY template) AS INT) AS cluster_id FROM template_v", "template_v")
+# every template of the log lines has enough lines to be a cluster of its own, and none is inside another one's
+add_view("clustered_v", "SELECT *, CAST('0x' || SUBSTR(MD5(template), 1, 15) AS BIGINT) AS cluster_id FROM template_v", "template_v")
 
 
 @query("ml_log_template", f"""SELECT template, COUNT(*) AS n FROM (SELECT template FROM template_v UNION ALL SELECT {MASK_SQL} AS template FROM (SELECT text AS message FROM conversations)) GROUP BY 1""", ["template_v"])
@@ -243,11 +244,14 @@ def ml_log_cluster(spark, sf):
     return L.cluster(app_logs(spark, sf))
 
 
-def ranked_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Log lines with the rank of their template as cluster (few templates, so the rank is a small lookup)."""
-    logs = A.logs(spark, sf).withColumn("template", L.template(F.col("message")))
-    ranks = logs.select("template").distinct().agg(F.array_sort(F.collect_set("template")).alias("all"))      # one short array
-    return logs.join(F.broadcast(ranks)).withColumn("cluster_id", F.array_position("all", F.col("template")).cast("int")).drop("all")
+@lru_cache(maxsize=8)
+def _clusters(app: str, sf: str) -> DataFrame:
+    return cut(L.cluster(A.logs(SparkSession.getActiveSession(), sf)))
+
+
+def clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines with their cluster."""
+    return L.with_cluster(A.logs(spark, sf), _clusters(spark.sparkContext.applicationId, sf))
 
 
 TOKENS = """(SELECT cluster_id, token, c, size, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY c DESC, token) AS rn FROM (SELECT cluster_id, token, COUNT(*) AS c FROM (SELECT cluster_id, UNNEST(STRING_SPLIT(message, ' ')) AS token FROM clustered_v) GROUP BY 1, 2)
@@ -262,7 +266,7 @@ KEYWORDS = f"(SELECT cluster_id, LIST(token ORDER BY rn)[1:8] AS kw FROM {TOKENS
   JOIN (SELECT cluster_id, STRING_AGG(service || '=' || n, ',' ORDER BY service) AS svcs FROM (SELECT cluster_id, service, COUNT(*) AS n FROM clustered_v GROUP BY 1, 2) GROUP BY 1) USING (cluster_id)
   JOIN (SELECT cluster_id, STRING_AGG(message, '|' ORDER BY timestamp, id) AS ex FROM (SELECT * FROM clustered_v QUALIFY ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY timestamp, id) <= 3) GROUP BY 1) USING (cluster_id)""", ["clustered_v"])
 def ml_cluster_patterns(spark, sf):
-    p = L.patterns(ranked_clusters(spark, sf))
+    p = L.patterns(clustered(spark, sf))
     show = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return p.select("cluster_id", "size", "representative", F.array_join("pattern_keywords", " ").alias("keywords"), show("severity_distribution").alias("severities"),
                     show("service_distribution").alias("services"), F.array_join("examples", "|").alias("examples"))
@@ -274,20 +278,21 @@ LABELS = f"""(SELECT cluster_id, sev || ': ' || COALESCE(ARRAY_TO_STRING(kw[1:3]
 
 @query("ml_cluster_labels", f"SELECT * FROM {LABELS}", ["clustered_v"])
 def ml_cluster_labels(spark, sf):
-    return L.patterns(ranked_clusters(spark, sf)).select("cluster_id", L.pattern_label().alias("label"))
+    return L.patterns(clustered(spark, sf)).select("cluster_id", L.pattern_label().alias("label"))
 
 
 @query("ml_pattern_summary", f"""SELECT cluster_id, label, size, SUBSTRING(representative, 1, 100) AS representative, COUNT(*) OVER () AS total_patterns FROM {LABELS} JOIN
   (SELECT cluster_id, COUNT(*) AS size, ARG_MIN(message, (timestamp, id)) AS representative FROM clustered_v GROUP BY 1) USING (cluster_id)""", ["clustered_v"])
 def ml_pattern_summary(spark, sf):
-    return L.pattern_summary(L.patterns(ranked_clusters(spark, sf))).select("cluster_id", "label", "size", "representative", "total_patterns")
+    return L.pattern_summary(L.patterns(clustered(spark, sf))).select("cluster_id", "label", "size", "representative", "total_patterns")
 
 
 @query("ml_cluster_assign")
 def ml_cluster_assign(spark, sf):
-    """Clusters from the first half of the lines; every line is assigned."""
+    """Clusters from the lines of the first four fifths of the time; every line is assigned."""
     logs = app_logs(spark, sf)
-    clusters = cut(L.cluster(logs.filter(F.col("id") % 2 == 0)))
+    border = F.lit(A.logs(spark, sf).agg(F.percentile_approx("timestamp", 0.8)).first()[0]).cast("timestamp_ntz")
+    clusters = cut(L.cluster(logs.filter(F.col("timestamp") < border)))
     labels = L.pattern_summary(L.patterns(L.with_cluster(logs, clusters))).select("cluster_id", "label")
     return L.assign(logs, clusters, labels).select("id", "message", "cluster_id", "cluster_label", "is_new_pattern", "confidence")
 
@@ -300,11 +305,10 @@ STEP_SQL = "CASE event_type WHEN 'purchase' THEN 'slow_query' WHEN 'view' THEN '
     FROM (SELECT service, ts, event_id, {STEP_SQL} AS step FROM svc) WHERE step IS NOT NULL WINDOW w AS (PARTITION BY service ORDER BY ts, event_id))
   WHERE a = 'slow_query' AND b = 'pool_exhaustion' AND c = 'slow_query' AND d = 'db_pool_exhausted' AND e = 'tx_rollback' AND "end" - ts <= INTERVAL 24 HOUR""", ["svc"])
 def ml_incident_sequences(spark, sf):
-    t, v = F.col("event_type"), F.floor("value").cast("int").cast("string")
-    message = (F.when(t == "purchase", F.concat(F.lit("Slow query detected: SELECT * FROM movies WHERE ... took "), v, F.lit("ms (threshold: 500ms)")))
-               .when(t == "view", F.concat(F.lit("Connection pool nearing capacity: "), v, F.lit("/20 active connections")))
-               .when(t == "error", F.concat(F.lit("Database connection pool exhausted: 20/20 connections in use, "), v, F.lit(" queued")))
-               .when(t == "click", F.lit("Transaction rolled back: deadlock detected")).otherwise(F.lit("Received GET /api/users")))
+    steps, t, v = dict(L.STEPS), F.col("event_type"), F.floor("value").cast("int").cast("string")
+    said = lambda step: F.concat(F.lit(f"{steps[step]} (event value "), v, F.lit(")"))  # noqa: E731  the beginning tells the step
+    message = (F.when(t == "purchase", said("slow_query")).when(t == "view", said("pool_exhaustion")).when(t == "error", said("db_pool_exhausted"))
+               .when(t == "click", said("tx_rollback")).otherwise(F.lit("nothing to report")))
     logs = A.svc(spark, sf).select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "service", message.alias("message"))
     return L.incident_sequences(logs)
 
