@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.memory import releasing
+from tidewatch.llm.memory import releasing, worker_cache
 
 #: Characters of text whose new pieces are encoded together, pieces kept, and tokens and rounds of one recursive query.
 GROUP, KEPT, TOKENS, ROUNDS = 4_000_000, 900_000, 1_000_000, 32
@@ -146,7 +146,7 @@ class Encoder:
                                   FROM final f JOIN vocabulary v ON v.token = f.token JOIN parts p ON p.word = f.word GROUP BY piece""").fetchall()
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = worker_cache()
 
 
 def _encoder(path: str, ranks, *sizes: int) -> Encoder:
@@ -190,7 +190,7 @@ def _encode(path: str, pattern: str, ranks, with_text: bool, group: int, *sizes:
 def _apply(docs: DataFrame, path: str, pattern: str, schema: str, with_text: bool, *sizes: int) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))          # a vocabulary: its size does not depend on the data
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(releasing(_encode(path, pattern, ranks, with_text, *sizes)), f"doc_id {kind}, n_tokens long, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(releasing(_encode(path, pattern, ranks, with_text, *sizes), keep=True), f"doc_id {kind}, n_tokens long, {schema}")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, group: int = GROUP, kept: int = KEPT, tokens: int = TOKENS) -> DataFrame:

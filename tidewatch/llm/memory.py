@@ -22,10 +22,26 @@ def release() -> None:
         trim(0)
 
 
-def releasing(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function over batches, with ``release`` at the end of each task."""
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, until a task of another operator starts in it."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def drop_caches() -> None:
+    for cache in _CACHES:
+        cache.clear()
+
+
+def releasing(fn: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """The function over batches, with ``release`` at the end of each task; unless ``keep``, the worker's caches are dropped first."""
     @wraps(fn)
     def run(batches):
+        if not keep:
+            drop_caches()
         try:
             yield from fn(batches)
         finally:
