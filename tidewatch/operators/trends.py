@@ -26,6 +26,11 @@ def series_stats(samples: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.max_by("_v", "idx").alias("latest"), F.stddev_pop("_v").alias("_sd"),
         F.avg(F.when(F.col("idx") < half, F.col("_v"))).alias("_first"),
         F.avg(F.when(F.col("idx") >= half, F.col("_v"))).alias("_second"))
+    return half_trend(agg)
+
+
+def half_trend(agg: DataFrame) -> DataFrame:
+    """Trend, volatility and direction from the averages of both halves ``_first`` and ``_second`` and the deviation ``_sd``."""
     pct = F.when((F.col("data_points") >= 2) & (F.col("_first") != 0),
                  (F.col("_second") - F.col("_first")) / F.col("_first") * 100).otherwise(F.lit(0.0))
     cv = F.when(F.col("avg") != 0, F.col("_sd") / F.abs("avg") * 100).otherwise(F.lit(0.0))

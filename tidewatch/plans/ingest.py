@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewatch import adapters as A
 from tidewatch.functions.scalar import fixed as sfixed, flatten_labels, parse_iso
 from tidewatch.operators import reports as OR
-from tidewatch.operators import trends as OT
 from tidewatch.plans import trends as T
 from tidewatch.plans import windows as W
 from tidewatch.plans.registry import query
@@ -24,6 +23,7 @@ from tidewatch.sources import sinks
 from tidewatch.sources.tables import log_pull, training_set
 from tidewatch.streaming import dedup as D
 from tidewatch.streaming import ingest as I
+from tidewatch.streaming import trends as TR
 from tidewatch.streaming.windows import tumbling_severity
 
 
@@ -237,13 +237,13 @@ def snk_append_tables(spark, sf):
         FROM svc, now_v WHERE ts > as_of - INTERVAL 24 HOUR) WINDOW s AS (PARTITION BY query_name, service)))
     GROUP BY 1, 2, pct)""", ["svc", "now_v"])
 def str_trend_window(spark, sf):
-    """Every batch stores its samples and publishes the trends of the trailing day anew."""
+    """Every batch adds its partial sums and publishes the trends of the trailing day from those of all batches."""
     out, now = run_dir(spark, "trend-window"), A.as_of(spark, sf)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        samples = I.stored_look_back(batch, batch_id, out, "samples", "ts", now - timedelta(hours=24))
-        shaped = samples.select(F.col("event_type").alias("query_name"), "service", "ts", "event_id", F.col("value").cast("string").alias("value"))
-        I.publish(OT.series_stats(shaped, ["query_name", "service"], ["ts", "event_id"], "ts"), f"{out}/trends", batch_id)
+        samples = batch.select(F.col("event_type").alias("query_name"), "service", "ts", "event_id", F.col("value").cast("string").alias("value"))
+        I.publish(TR.add_batch(samples, batch_id, out, ["query_name", "service"], ["ts", "event_id"], now - timedelta(hours=24)), f"{out}/trends", batch_id)
+        TR.keep_newest(spark, f"{out}/trends", batch_id)
 
     I.start_cycle(stream_events(spark, sf), f"{out}/checkpoint", publish, once=True).awaitTermination()
     return I.read_published(spark, f"{out}/trends").select("query_name", "service", "data_points", sfixed("avg", 4).alias("avg"), "direction")

@@ -11,6 +11,7 @@ from tidewatch.functions.series import with_position
 from tidewatch.operators import timeseries as TS
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import add_view, fixed as r
+from tidewatch.session import run_dir
 
 SERIES = ["service", "event_type"]
 HOUR = 3600
@@ -174,11 +175,36 @@ def ts_relabel(spark, sf):
     return TS.relabel(rows, [TS.Matcher("service", "=~", "svc-[ab]")], "resource").select("event_id", flatten_labels(F.col("labels")).alias("labels"))
 
 
-@query("str_sliding_rate", f"""
+SLIDING_SQL = f"""
   SELECT service, event_type, eval_ts, {r('SUM(increase) / 120.0E0', 9)} AS value FROM (
     SELECT service, event_type, increase, TIME_BUCKET(INTERVAL 15 SECOND, ts, TIMESTAMP '2000-01-01') + (j + 1) * INTERVAL 15 SECOND AS eval_ts FROM inc_v, UNNEST(RANGE(0, 8)) g(j))
-  GROUP BY 1, 2, 3""", ["inc_v"])
+  GROUP BY 1, 2, 3"""
+
+
+@query("str_sliding_rate", SLIDING_SQL, ["inc_v"])
 def str_sliding_rate(spark, sf):
     from tidewatch.streaming.windows import sliding_rate
     inc = TS.counter_increase(A.counters(spark, sf), SERIES)
     return sliding_rate(inc, SERIES, "increase").withColumn("value", sfixed("value", 9))
+
+
+@query("str_sliding_rate_stream", SLIDING_SQL, ["inc_v"])
+def str_sliding_rate_stream(spark, sf):
+    """The samples as a stream of files, a third of the time after the other; a last sample of no series lets the watermark pass them all."""
+    from tidewatch.streaming import ingest as I
+    from tidewatch.streaming.windows import sliding_rate_stream
+
+    out, files = run_dir(spark, "sliding-rate"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = A.counters(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        return rows.select(*SERIES, F.col("ts").cast("timestamp_ntz").alias("eval_ts"), "value").limit(0)
+    borders = [low + (high - low) * k / 3 for k in range(4)]
+    for k in range(3):
+        part = rows.where((F.col("ts") >= borders[k]) & ((F.col("ts") < borders[k + 1]) | F.lit(k == 2)))
+        part.repartition(files).write.mode("append").parquet(f"{out}/in")
+    rows.limit(1).select(F.lit("").alias("service"), F.lit("").alias("event_type"), F.lit(high + timedelta(hours=1)).alias("ts"), "value").write.mode("append").parquet(f"{out}/in")
+    stream = I.file_stream(spark, f"{out}/in", rows.schema, "parquet", files_per_trigger=files)
+    I.start_files(sliding_rate_stream(stream, SERIES), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    found = spark.read.schema("service string, event_type string, eval_ts timestamp, value double").parquet(f"{out}/rows")
+    return found.select(*SERIES, F.col("eval_ts").cast("timestamp_ntz").alias("eval_ts"), sfixed("value", 9).alias("value"))
