@@ -23,7 +23,6 @@ IMPORTANT_REASONS = [
 ]
 
 # -- fixed values: text length and slow calls ---------------------------------
-EVENT_MESSAGE_CHARS = 500
 SLOW_MS = 500
 
 # -- fixed values: source metric name -> feature ------------------------------

@@ -83,19 +83,17 @@ def near_counts(base: DataFrame, others: dict[str, DataFrame], key: str, ts: str
     return counted.select(*cols, *[F.expr(f"`{n}` div _rows").alias(n) for n in others])
 
 
-def align_services(wide: DataFrame, services: Sequence[str], features: Sequence[str], block: str = "window_id", ts: str = "timestamp") -> DataFrame:
-    """Align the series of every configured service pair by position inside a block, cut to the shorter one.
+def align_services(wide: DataFrame, features: Sequence[str], block: str = "window_id", ts: str = "timestamp", services: Sequence[str] | None = None) -> DataFrame:
+    """Align the series of every pair of services by position inside a block, cut to the shorter one; of ``services`` only, if they are given.
 
-    Services become columns of one row per position (a pivot over a fixed list), so the pairs cost one pass and
-    no self-join. Result: ``block, idx, s1, s2`` and ``<feature>_1, <feature>_2``.
+    Result: ``block, idx, s1, s2`` (s1 before s2) and ``<feature>_1, <feature>_2``. For statistics of many services use ``windows.pair_correlations``,
+    which makes no row per pair and position.
     """
-    placed = with_position(wide.select(block, "service", ts, *features), [block, "service"], [ts], ts)
-    cells = placed.groupBy(block, "idx").pivot("service", list(services)).agg(F.first(F.struct(*features)))
-    pairs = [(a, b) for i, a in enumerate(services) for b in services[i + 1:]]
-    rows = F.array(*[F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.struct(
-        F.lit(a).alias("s1"), F.lit(b).alias("s2"),
-        *[F.col(f"`{a}`")[f].alias(f"{f}_1") for f in features], *[F.col(f"`{b}`")[f].alias(f"{f}_2") for f in features])) for a, b in pairs])
-    return cells.select(block, "idx", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    rows = wide if services is None else wide.filter(F.col("service").isin(list(services)))
+    placed = with_position(rows.select(block, "service", ts, *features), [block, "service"], [ts], ts)
+    side = lambda k: placed.select(block, "idx", F.col("service").alias(f"s{k}"), *[F.col(f).alias(f"{f}_{k}") for f in features])
+    return side(1).join(side(2), [block, "idx"]).filter("s1 < s2").select(
+        block, "idx", "s1", "s2", *[f"{f}_{k}" for k in (1, 2) for f in features])
 
 
 def union_frames(*frames: DataFrame) -> DataFrame:

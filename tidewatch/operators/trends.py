@@ -100,12 +100,13 @@ def summary_counts(summary: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_series"))
 
 
-def history_pivot(records: DataFrame, query_name: str, services: Sequence[str]) -> DataFrame:
-    """History of one query: a row per time, a column per service, latest value with three decimals."""
+def history_pivot(records: DataFrame, query_name: str, services: Sequence[str] | None = None) -> DataFrame:
+    """History of one query: a row per time, a column per service (every service there is, unless ``services`` names some), latest value with
+    three decimals."""
     rows = exploded(records.filter(F.col("query_name") == query_name)).select(
         "timestamp", F.coalesce(F.col("labels")["service_name"], F.col("labels")["job"], F.lit("unknown")).alias("service"),
         fixed("latest", 3).alias("latest"))
-    return rows.groupBy("timestamp").pivot("service", list(services)).agg(F.first("latest"))
+    return rows.groupBy("timestamp").pivot("service", None if services is None else list(services)).agg(F.first("latest"))
 
 
 def current_values(records: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def tr_summary_counts(spark, sf):
   SELECT timestamp, {r("MAX(latest) FILTER (service = 'svc-a')", 3)} AS "svc-a", {r("MAX(latest) FILTER (service = 'svc-b')", 3)} AS "svc-b",
     {r("MAX(latest) FILTER (service = 'svc-c')", 3)} AS "svc-c" FROM trend_v WHERE query_name = 'error' GROUP BY 1""", ["trend_v"])
 def tr_timeseries_pivot(spark, sf):
-    return T.history_pivot(records(spark, sf), "error", ["svc-a", "svc-b", "svc-c"])
+    return T.history_pivot(records(spark, sf), "error")
 
 
 @query("tr_current_values", """

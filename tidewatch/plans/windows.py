@@ -12,7 +12,6 @@ from tidewatch.operators import windows as W
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import add_view, fixed as r
 
-SERVICES = ["svc-a", "svc-b", "svc-c"]
 # decimals that are compared, by feature prefix
 DIGITS = {f: 2 if f == "jvm_heap_used" else 4 for f in FEATURES}
 
@@ -153,7 +152,7 @@ add_view("align_v", """
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
     wide = A.wide(spark, sf).withColumn("day", ntz(F.date_trunc("day", "timestamp")))
-    return J.align_services(wide, SERVICES, ["error_rate", "latency_p99"], "day")
+    return J.align_services(wide, ["error_rate", "latency_p99"], "day")
 
 
 @query("join_service_pair_align", f"SELECT day, idx, s1, s2, {', '.join(f'{r(c, 4)} AS {c}' for c in ('error_rate_1', 'latency_p99_1', 'error_rate_2', 'latency_p99_2'))} FROM align_v", ["align_v"])
@@ -162,9 +161,12 @@ def join_service_pair_align(spark, sf):
 
 
 @query("win_cross_service_corr", f"""SELECT day, s1, s2, COUNT(*) AS points, CASE WHEN COUNT(*) > 2 THEN {r('CORR(error_rate_1, error_rate_2)', 6)} ELSE 0 END AS corr_error,
-  CASE WHEN COUNT(*) > 2 THEN {r('CORR(latency_p99_1, latency_p99_2)', 6)} ELSE 0 END AS corr_latency FROM align_v GROUP BY 1, 2, 3""", ["align_v"])
+  CASE WHEN COUNT(*) > 2 THEN {r('CORR(latency_p99_1, latency_p99_2)', 6)} ELSE 0 END AS corr_latency FROM align_v GROUP BY 1, 2, 3
+  UNION ALL SELECT DATE_TRUNC('day', timestamp), MIN(service), NULL, 0, 0, 0 FROM wide_v GROUP BY 1 HAVING COUNT(DISTINCT service) = 1""", ["align_v"])
 def win_cross_service_corr(spark, sf):
-    return W.service_correlations(aligned(spark, sf), "day").withColumns({c: sfixed(c, 6) for c in ("corr_error", "corr_latency")})
+    wide = A.wide(spark, sf).withColumn("day", ntz(F.date_trunc("day", "timestamp")))
+    found = W.pair_correlations(wide, ["error_rate", "latency_p99"], "day")
+    return found.select("day", "s1", "s2", "points", sfixed("corr_error_rate", 6).alias("corr_error"), sfixed("corr_latency_p99", 6).alias("corr_latency"))
 
 
 @query("win_sequence_label", """
@@ -233,7 +235,7 @@ def win_forward_pad(spark, sf):
 @query("rpt_metric_window_payload", f"""
   SELECT service, day, CAST(MAX(n) AS INT) AS length, CAST(COUNT(DISTINCT feature) AS INT) AS n_features FROM {PAYLOAD} GROUP BY 1, 2""", ["named_v"])
 def rpt_metric_window_payload(spark, sf):
-    return payload(spark, sf).select("service", "day", "length", F.size("metrics").alias("n_features"))
+    return payload(spark, sf).select("service", "day", F.size(F.map_values("timestamps")[0]).alias("length"), F.size("metrics").alias("n_features"))
 
 
 HASHED = "MD5(CAST(window_id AS VARCHAR) || ':42')"
