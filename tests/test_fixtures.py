@@ -233,6 +233,16 @@ def test_cycles_over_several_batches_see_the_stored_look_back(spark, tmp_path):
     assert drop_expired(spark, out, "rows", T0 + timedelta(days=2)) == 2 and spark.read.parquet(f"{out}/rows").count() == 4
 
 
+def test_context_of_services_from_tables(spark):
+    forecasts = spark.createDataFrame([("a", "cpu", 1, 0.5), ("a", "cpu", 3, 0.98765), ("a", "mem", 2, 1.0), ("c", "cpu", 1, 2.0)], "service string, metric string, step int, value double")
+    predictions = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("a", True)], "service string, is_new_pattern boolean")
+    patterns = spark.createDataFrame([("a", i % 4, "ERROR" if i % 4 else "INFO") for i in range(12)] + [("b", 9, "INFO")], "service string, cluster_id bigint, severity string")
+    got = {r.service: r for r in R.service_context(forecasts, predictions, patterns, 2).collect()}
+    assert {s: (r.predicted_end_values, r.new_patterns_detected, r.n_error_patterns, r.error_patterns, r.total_patterns) for s, r in got.items()} == {
+        "a": ({"cpu": 0.9877, "mem": 1.0}, 2, 3, [1, 2], 4), "b": (None, 1, 0, [], 1), "c": ({"cpu": 2.0}, 0, 0, [], 0)}
+    assert {r.service: r.error_patterns for r in R.service_context(forecasts, predictions, patterns).collect()}["a"] == [1, 2, 3]
+
+
 def test_context_lists_everything_by_default(spark):
     one = spark.range(1).select(F.expr("map('m', array(1.0D, 2.0D))").alias("forecasts"), F.expr("array(named_struct('is_new_pattern', true))").alias("recent_predictions"),
                                 F.expr("transform(sequence(9, 1), i -> named_struct('cluster_id', i, 'severities', map(if(i < 9, 'ERROR', 'INFO'), 1)))").alias("patterns"))

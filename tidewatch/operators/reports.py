@@ -210,6 +210,29 @@ def model_context(outputs: DataFrame, listed: int | None = None) -> DataFrame:
                                 "total_patterns": F.array_size("patterns")})
 
 
+def service_context(forecasts: DataFrame, predictions: DataFrame, patterns: DataFrame, listed: int | None = None) -> DataFrame:
+    """The same summary per service from tables of any length: ``service, predicted_end_values, new_patterns_detected, n_error_patterns, error_patterns,
+    total_patterns`` for every service of the three tables.
+
+    ``forecasts``: service, metric, step, value; ``predictions``: service, is_new_pattern, a row per line; ``patterns``: service, cluster_id, severity, a row
+    per line. Only metrics and the listed clusters of a service become one row; ``listed`` bounds the latter."""
+    last = forecasts.groupBy("service", "metric").agg(F.round(F.max_by("value", "step"), 4).alias("value"))
+    ends = last.groupBy("service").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("predicted_end_values"))
+    fresh = predictions.groupBy("service").agg(F.count_if("is_new_pattern").alias("new_patterns_detected"))
+    each = patterns.groupBy("service", "cluster_id").agg((F.count_if(F.col("severity") == "ERROR") > 0).alias("bad"))
+    counts = each.groupBy("service").agg(F.count(F.lit(1)).alias("total_patterns"), F.count_if("bad").alias("n_error_patterns"))
+    bad = each.filter("bad")
+    if listed is not None:
+        bad = bad.withColumn("_r", F.row_number().over(Window.partitionBy("service").orderBy("cluster_id"))).filter(F.col("_r") <= listed)
+    names = bad.groupBy("service").agg(F.array_sort(F.collect_list("cluster_id")).alias("error_patterns"))
+    every = forecasts.select("service").union(predictions.select("service")).union(patterns.select("service")).distinct()
+    out = every
+    for part in (ends, fresh, counts, names):
+        out = out.join(part, "service", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("new_patterns_detected", "total_patterns", "n_error_patterns")}
+    return out.withColumns({**zero, "error_patterns": F.coalesce("error_patterns", F.array().cast("array<bigint>"))})
+
+
 def has_data(*tables: DataFrame) -> DataFrame:
     """One row: is there any row in any table? Each table contributes at most one row."""
     heads = [t.select(F.lit(1).alias("x")).limit(1) for t in tables]

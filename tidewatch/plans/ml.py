@@ -1,6 +1,7 @@
 """Registered model queries. Fitted models are kept for the session, one per data folder."""
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import lru_cache
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +21,7 @@ from tidewatch.ml.neighbours import nearest_same_class
 from tidewatch.operators import evaluation as V
 from tidewatch.operators import windows as OW
 from tidewatch.operators.aggregates import mode_label
+from tidewatch.operators.reports import service_context
 from tidewatch.plans import reports as PR
 from tidewatch.plans import windows as W
 from tidewatch.plans.registry import query
@@ -342,21 +344,26 @@ def ml_retrain(spark, sf):
     return forest.transform(rich).select("window_id", "if_score", "is_outlier", F.lit(cause is not None).alias("cause_retrained"), F.lit(float(rec.threshold)).alias("threshold"))
 
 
+CONTEXT_ID = "CAST('0x' || SUBSTR(MD5(template), 1, 15) AS BIGINT)"
+
+
 @query("rpt_ml_context", f"""
-  SELECT service, CAST(COUNT(DISTINCT template) AS INT) AS total_patterns, CAST(COUNT(DISTINCT template) FILTER (severity = 'ERROR') AS INT) AS error_patterns, CAST(COUNT(*) FILTER (recent <= 20 AND id % 7 = 0) AS INT) AS new_patterns_detected, {r('ARG_MAX(duration, (timestamp, id))', 4)} AS end_value
-  FROM (SELECT t.*, d.duration_ms AS duration, ROW_NUMBER() OVER (PARTITION BY t.service ORDER BY t.timestamp DESC, t.id DESC) AS recent FROM template_v t JOIN traces_v d ON t.id = d.id) GROUP BY 1""", ["template_v", "traces_v"])
+  WITH lines AS (SELECT t.*, timestamp > as_of - INTERVAL 24 HOUR AS late FROM template_v t, now_v), known AS (SELECT template FROM lines WHERE NOT late GROUP BY 1 HAVING COUNT(*) >= 5),
+    ends AS (SELECT service, {r('ARG_MAX(duration_ms, (timestamp, id))', 4)} AS end_value FROM traces_v GROUP BY 1)
+  SELECT service, CAST(COUNT(DISTINCT template) FILTER (NOT late AND template IN (SELECT template FROM known)) AS INT) AS total_patterns,
+    CAST(COUNT(DISTINCT template) FILTER (NOT late AND severity = 'ERROR' AND template IN (SELECT template FROM known)) AS INT) AS error_patterns,
+    COALESCE(STRING_AGG(DISTINCT CAST({CONTEXT_ID} AS VARCHAR), ',' ORDER BY CAST({CONTEXT_ID} AS VARCHAR)) FILTER (NOT late AND severity = 'ERROR' AND template IN (SELECT template FROM known)), '') AS error_ids,
+    CAST(COUNT(*) FILTER (late AND template NOT IN (SELECT template FROM known)) AS INT) AS new_patterns_detected, ANY_VALUE(end_value) AS end_value
+  FROM lines JOIN ends USING (service) GROUP BY 1""", ["template_v", "traces_v", "now_v"])
 def rpt_ml_context(spark, sf):
-    return ml_context(spark, sf, 20)                # the SQL counts new patterns among the twenty newest predictions
-
-
-def ml_context(spark: SparkSession, sf: str, newest: int | None = None) -> DataFrame:
-    """Numbers of patterns of a service, of those with errors and of new ones, among all predictions or the ``newest``."""
-    from tidewatch.operators.queries import top_per_group
-    logs = A.logs(spark, sf).withColumn("template", L.template(F.col("message")))
-    pats = logs.groupBy("service", "template").agg((F.count_if(F.col("severity") == "ERROR") > 0).alias("bad")).groupBy("service").agg(
-        F.count(F.lit(1)).cast("int").alias("total_patterns"), F.count_if("bad").cast("int").alias("error_patterns"))
-    seen = logs.select("service", "timestamp", "id")
-    seen = seen if newest is None else top_per_group(seen, ["service"], [F.desc("timestamp"), F.desc("id")], newest)
-    recent = seen.groupBy("service").agg(F.count_if(F.col("id") % 7 == 0).cast("int").alias("new_patterns_detected"))
-    ends = A.traces(spark, sf).groupBy("service").agg(sfixed(F.max_by("duration_ms", F.struct("timestamp", "id")), 4).alias("end_value"))
-    return pats.join(ends, "service").join(recent, "service").select("service", "total_patterns", "error_patterns", "new_patterns_detected", "end_value")
+    """Clusters of the lines before the last day, the lines of the last day as predictions, the last duration as end value."""
+    logs, border = A.logs(spark, sf), A.as_of(spark, sf) - timedelta(hours=24)
+    late = F.col("timestamp") > F.lit(border).cast("timestamp_ntz")
+    clusters = cut(L.cluster(logs.filter(~late)))
+    patterns = L.with_cluster(logs.filter(~late), clusters).filter("cluster_id <> -1").select("service", "cluster_id", "severity")
+    predictions = L.assign(logs.filter(late), clusters).select("service", "is_new_pattern")
+    forecasts = A.traces(spark, sf).select("service", F.lit("duration_ms").alias("metric"), F.struct("timestamp", "id").alias("step"), F.col("duration_ms").alias("value"))
+    out = service_context(forecasts, predictions, patterns)
+    ids = F.array_sort(F.transform("error_patterns", lambda c: c.cast("string")))
+    return out.select("service", F.col("total_patterns").cast("int").alias("total_patterns"), F.col("n_error_patterns").cast("int").alias("error_patterns"), F.array_join(ids, ",").alias("error_ids"),
+                      F.col("new_patterns_detected").cast("int").alias("new_patterns_detected"), sfixed(F.col("predicted_end_values")["duration_ms"], 4).alias("end_value"))
