@@ -84,17 +84,29 @@ def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _near(size: int, sketch: np.ndarray, sizes: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray]], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, differing bits) of the sets that may be similar to one set; ``sketches`` holds rows and matrix by sketch length."""
-    for words, (rows, matrix) in sketches.items():
-        fit = (sizes[rows] * 100 >= size * percent) & (size * 100 >= sizes[rows] * percent)
-        rows = rows[fit]
-        if len(rows):
-            low = min(words, len(sketch))
-            apart = np.bitwise_count(_fold(matrix[fit], low) ^ _fold(sketch[None, :], low)).sum(axis=1, dtype=np.int64)
-            total = sizes[rows] + size
-            ok = 100 * (total - apart) >= percent * (total + apart)
-            yield rows[ok], apart[ok]
+def _by_length(rows: np.ndarray, raw: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, matrix and quarter-length matrix of sketches, by their length in words."""
+    groups: dict[int, list[int]] = {}
+    for i in rows:
+        groups.setdefault(len(raw[i]) // 8, []).append(i)
+    whole = {w: (np.array(own), np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(-1, w)) for w, own in groups.items()}
+    return {w: (own, matrix, _fold(matrix, max(1, w // 4))) for w, (own, matrix) in whole.items()}
+
+
+def _near(size: int, sketch: np.ndarray, sizes: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, differing bits) of the sets that may be similar to one set; ``sketches`` as ``_by_length`` has them. Sketches of a quarter of the
+    length, which differ in no more bits, rule most pairs out first."""
+    for words, (own, *matrices) in sketches.items():
+        at = np.flatnonzero((sizes[own] * 100 >= size * percent) & (size * 100 >= sizes[own] * percent))
+        total = sizes[own] + size
+        for matrix in reversed(matrices):
+            if len(at):
+                low = min(matrix.shape[1], max(1, len(sketch) * matrix.shape[1] // words))
+                apart = np.bitwise_count(_fold(matrix[at], low) ^ _fold(sketch[None, :], low)).sum(axis=1, dtype=np.int64)
+                ok = 100 * (total[at] - apart) >= percent * (total[at] + apart)
+                at, apart = at[ok], apart[ok]
+        if len(at):
+            yield own[at], apart
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -347,10 +359,7 @@ def _cell_pairs(percent: int, nearest: bool):
         side = cell["side"].to_numpy()
         ids, comp, sizes = (cell[c].to_numpy() for c in ("rep", "component", "n_shingles"))
         raw = cell["sketch"].to_pylist()
-        by_length: dict[int, list[int]] = {}
-        for i in np.flatnonzero(side == 0):
-            by_length.setdefault(len(raw[i]) // 8, []).append(i)
-        sketches = {w: (np.array(rows), np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(-1, w)) for w, rows in by_length.items()}
+        sketches = _by_length(np.flatnonzero(side == 0), raw)
         out = []
         for i in np.flatnonzero(side == 1):
             for rows, apart in _near(int(sizes[i]), np.frombuffer(raw[i], np.uint64), sizes, sketches, percent):
