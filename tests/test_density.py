@@ -90,17 +90,11 @@ def test_planted_clusters(spark, seeds, reach, part):
         p, e = planted(seed, reach)
         points |= {i + seed * 10**6: n for i, n in p.items()}
         pairs |= {(a + seed * 10**6, b + seed * 10**6): v for (a, b), v in e.items()}
+    points |= {1: 9, 2: 1, 3: 4, 4: 1, 5: 5, **dict.fromkeys(range(100, 120), 1)}          # alone, and a chain whose points have two neighbours each
+    pairs |= {(i, i + 1): 1 for i in range(100, 119)}
     want = plain(points, pairs, reach, 5, 3)
+    assert [want[i] for i in (1, 2, 3, 4, 5, 105)] == [1, None, None, None, 5, None]
     p = spark.createDataFrame(list(points.items()), "id bigint, n int")
     e = spark.createDataFrame([(a, b, v) for (a, b), v in pairs.items()], "a bigint, b bigint, level int")
     assert {r.id: r.label for r in D.density_clusters(p, e, reach, part=part).collect()} == want
     assert len(set(want.values()) - {None}) > 1 and None in want.values()
-
-
-def test_odd_graphs(spark):
-    p = spark.createDataFrame([(1, 9), (2, 1), (3, 4), (4, 1), (5, 5), *((100 + i, 1) for i in range(40))], "id bigint, n int")
-    chain = spark.range(100, 139).selectExpr("id a", "id + 1 b", "1 level")
-    got = {r.id: r.label for r in D.density_clusters(p, chain, 10).collect()}
-    assert {i: got[i] for i in range(1, 6)} == {1: 1, 2: None, 3: None, 4: None, 5: 5}      # four points of one place are three others for each, but no cluster
-    assert len({got[i] for i in range(100, 140)} - {None}) == 0                             # two neighbours are less than three
-    assert D.density_clusters(p.limit(0), chain.limit(0), 10).collect() == []
