@@ -1,4 +1,5 @@
 """Density clusters against a version that follows the definition from the top, for both ways of computing them."""
+import os
 import random
 
 import pytest
@@ -83,7 +84,7 @@ def planted(seed, reach):
     return points, pairs
 
 
-@pytest.mark.parametrize("seeds,reach,part", [((1, 2, 3, 4), 20, D.PART), ((4,), 3, 10)])
+@pytest.mark.parametrize("seeds,reach,part", [((1, 2, 3, 4), 20, D.PART), pytest.param((4,), 3, 10, marks=pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="hundreds of small jobs"))])
 def test_planted_clusters(spark, seeds, reach, part):
     points, pairs = {}, {}
     for seed in seeds:                                   # parts of their own
