@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.session import cut
+from tidewatch.session import settled
 
 PART = 50_000
 TOLERANCE = 1e-9
@@ -27,14 +27,14 @@ TOLERANCE = 1e-9
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id, root``: the smallest id that each node is connected to. Every round takes neighbour minima, then jumps to the
-    root's root; lineage is cut by a checkpoint per round, and rounds go on until nothing changes."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = cut(nodes.select("id", F.col("id").alias("root")))
+    root's root; lineage is cut by files per round, and rounds go on until nothing changes."""
+    both = settled(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    state = settled(nodes.select("id", F.col("id").alias("root")))
     while True:
         lows = both.join(state.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         step = state.join(lows, "id", "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("near"))
         jump = step.join(state.select(F.col("id").alias("near"), F.col("root").alias("far")), "near", "left")
-        new = cut(jump.select("id", F.col("root").alias("old"), F.least("near", F.coalesce("far", "near")).alias("root")))
+        new = settled(jump.select("id", F.col("root").alias("old"), F.least("near", F.coalesce("far", "near")).alias("root")))
         state = new.select("id", "root")
         if new.filter("root <> old").isEmpty():
             return state
@@ -106,9 +106,9 @@ def _condense(smallest: int, end: int):
 
 def _by_levels(points: DataFrame, edges: DataFrame, smallest: int, end: int) -> DataFrame:
     """The same for parts of any size: ``id, label``."""
-    at = cut(points.select("id", F.col("id").alias("node"), F.lit(None).cast("bigint").alias("label")))
-    state = cut(points.select(F.col("id").alias("node"), F.col("n").alias("size"), (F.col("n") / F.col("core")).alias("total"), F.lit(0.0).alias("best")))
-    edges = cut(edges)
+    at = settled(points.select("id", F.col("id").alias("node"), F.lit(None).cast("bigint").alias("label")))
+    state = settled(points.select(F.col("id").alias("node"), F.col("n").alias("size"), (F.col("n") / F.col("core")).alias("total"), F.lit(0.0).alias("best")))
+    edges = settled(edges)
 
     def closed(rows: DataFrame, density: Column) -> DataFrame:
         own = F.col("total") - density * F.col("size")
@@ -122,7 +122,7 @@ def _by_levels(points: DataFrame, edges: DataFrame, smallest: int, end: int) ->
     for level in [r["level"] for r in edges.select("level").distinct().orderBy("level").collect()]:         # whole levels: at most ``end``
         here = edges.where(F.col("level") == level)
         here = here.join(at.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
-        here = cut(here.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        here = settled(here.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         if here.isEmpty():
             continue
         touched = here.select(F.col("a").alias("id")).union(here.select("b")).distinct()
@@ -131,15 +131,15 @@ def _by_levels(points: DataFrame, edges: DataFrame, smallest: int, end: int) ->
         large = F.col("size") >= smallest
         tops = parts.groupBy("top").agg(F.sum("size").alias("all"), F.count_if(large).alias("larges"), F.sum(F.when(large, F.col("worth"))).alias("inside"),
                                         F.max(F.when(large, F.struct("size", "total", "best"))).alias("one"))
-        tops = cut(tops)
+        tops = settled(tops)
         winners = parts.join(tops.where("larges > 1").select("top"), "top", "left_semi").where("wins")
         at = labelled(at, winners)
-        at = cut(at.join(joined, "node", "left").select("id", F.coalesce("top", "node").alias("node"), "label"))
+        at = settled(at.join(joined, "node", "left").select("id", F.coalesce("top", "node").alias("node"), "label"))
         single = F.col("larges") == 1
         new = tops.select(F.col("top").alias("node"), F.col("all").alias("size"),
                           F.when(single, F.col("one.total") + (F.col("all") - F.col("one.size")) / level).otherwise(F.col("all") / level).alias("total"),
                           F.when(single, F.col("one.best")).otherwise(F.coalesce("inside", F.lit(0.0))).alias("best"))
-        state = cut(state.join(joined, "node", "left_anti").unionByName(new))
+        state = settled(state.join(joined, "node", "left_anti").unionByName(new))
     return labelled(at, closed(state, F.lit(1 / end)).where("wins")).select("id", "label")
 
 
@@ -149,15 +149,15 @@ def density_clusters(points: DataFrame, pairs: DataFrame, reach: int, smallest:
     ``points``: id, n (weight). ``pairs``: a, b, level for all pairs of different points at a distance of at most ``reach`` levels, 1 or more; points
     further apart are never joined. ``smallest`` has to be greater than ``samples``.
     """
-    points = cut(points.select("id", F.col("n").cast("bigint").alias("n")))
-    pairs = cut(pairs)
-    core = cut(core_levels(points, pairs, samples))
+    points = settled(points.select("id", F.col("n").cast("bigint").alias("n")))
+    pairs = settled(pairs)
+    core = settled(core_levels(points, pairs, samples))
     edges = pairs.join(core.select(F.col("id").alias("a"), F.col("core").alias("core_a")), "a").join(core.select(F.col("id").alias("b"), F.col("core").alias("core_b")), "b")
-    edges = cut(edges.select("a", "b", F.greatest("level", "core_a", "core_b").cast("int").alias("level")))
+    edges = settled(edges.select("a", "b", F.greatest("level", "core_a", "core_b").cast("int").alias("level")))
     roots = components(core, edges)
     sizes = edges.join(roots.select(F.col("id").alias("a"), "root"), "a").groupBy("root").agg((F.count(F.lit(1))).alias("edges"))
-    sizes = cut(roots.groupBy("root").agg(F.count(F.lit(1)).alias("points")).join(sizes, "root", "left").select("root", (F.col("points") + F.coalesce("edges", F.lit(0)) > part).alias("large")))
-    placed = cut(core.join(roots, "id").join(sizes, "root"))
+    sizes = settled(roots.groupBy("root").agg(F.count(F.lit(1)).alias("points")).join(sizes, "root", "left").select("root", (F.col("points") + F.coalesce("edges", F.lit(0)) > part).alias("large")))
+    placed = settled(core.join(roots, "id").join(sizes, "root"))
     where = placed.select(F.col("id").alias("a"), F.col("root").alias("of"), "large")
     rooted = edges.join(where, "a")
     end = reach + 1

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.series import micros, row_frames, with_position
 from tidewatch.ml.density import density_clusters
-from tidewatch.session import broadcast_if_small, cut
+from tidewatch.session import broadcast_if_small, settled
 
 # -- fixed values: masks of variable parts, applied in this order -------------
 MASKS = [
@@ -91,7 +91,7 @@ def similar_pairs(t: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
 
     Pairs that share one of their rare tokens are verified. The templates of a token meet in cells of about ``BLOCK`` by ``BLOCK``, so
     that no task gets all the pairs of a full one."""
-    rare = cut(rare_tokens(t, token_counts(t), least))
+    rare = settled(rare_tokens(t, token_counts(t), least))
     own = in_blocks(rare, rare)
     left = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_own")))).select("token", F.col("_own").alias("_i"), F.col("_to").alias("_j"), F.col("id").alias("x"), F.col("tokens").alias("tx"))
     right = own.withColumn("_from", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).select("token", F.col("_from").alias("_i"), F.col("_own").alias("_j"), F.col("id").alias("y"), F.col("tokens").alias("ty"))
@@ -111,7 +111,7 @@ def cluster(logs: DataFrame, message: str = "message", least: float = MIN_SIMILA
     The distance of two templates is one less their Jaccard coefficient, in hundredths rounded up; templates less similar than ``least`` are never
     joined. The cluster id is the smallest ``template_id`` in it. See ``density`` for what is a cluster.
     """
-    t = cut(templates(logs, message).where("template IS NOT NULL").withColumn("id", template_id()).withColumn("tokens", tokens_of()))
+    t = settled(templates(logs, message).where("template IS NOT NULL").withColumn("id", template_id()).withColumn("tokens", tokens_of()))
     level = F.greatest(F.lit(1), F.ceil(LEVELS * (1 - F.col("similarity")) - 1e-9)).cast("int")
     pairs = similar_pairs(t, least).select("a", "b", level.alias("level"))
     labels = density_clusters(t.select("id", "n"), pairs, round(LEVELS * (1 - least)), smallest, samples)
@@ -163,14 +163,14 @@ def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None =
     exact = fresh.join(known, "template").select("template", "cluster_id", F.lit(1.0).alias("confidence"))
     old = known.withColumn("tokens", tokens_of()).withColumn("id", F.struct("cluster_id", "template"))
     new = fresh.join(known, "template", "left_anti").withColumn("id", F.col("template"))
-    counts = cut(token_counts(old.select("tokens").unionByName(new.select("tokens"))))
-    offers = cut(rare_tokens(old, counts, least))
+    counts = settled(token_counts(old.select("tokens").unionByName(new.select("tokens"))))
+    offers = settled(rare_tokens(old, counts, least))
     parts = in_blocks(offers, offers).select("token", F.col("_own").alias("_i"), F.col("id.cluster_id").alias("cluster_id"), F.col("tokens").alias("other"))
     asked = in_blocks(rare_tokens(new, counts, least), offers).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.col("id").alias("template"), "tokens", "token", "_i")
     close = asked.join(parts, ["token", "_i"]).withColumn("confidence", jaccard(F.col("tokens"), F.col("other"))).filter(F.col("confidence") >= least)
     best = close.groupBy("template").agg(F.max_by(F.struct("cluster_id", "confidence"), F.struct("confidence", "cluster_id")).alias("b")).select("template", "b.*")
     found = exact.unionByName(best)
-    out = logs.join(broadcast_if_small(cut(found)), "template", "left").withColumns({
+    out = logs.join(broadcast_if_small(settled(found)), "template", "left").withColumns({
         "cluster_id": F.coalesce("cluster_id", F.lit(-1)), "confidence": F.round(F.coalesce("confidence", F.lit(0.0)), 4)}).withColumn("is_new_pattern", F.col("cluster_id") == -1)
     if labels is not None:
         out = out.join(labels.select("cluster_id", "label"), "cluster_id", "left").withColumn("cluster_label", F.coalesce("label", F.lit("unknown/new_pattern"))).drop("label")

@@ -26,7 +26,7 @@ from tidewatch.plans import reports as PR
 from tidewatch.plans import windows as W
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import add_view, fixed as r
-from tidewatch.session import cut, run_dir
+from tidewatch.session import cut, run_dir, settled
 
 
 # ---- shared inputs ----------------------------------------------------------
@@ -248,7 +248,7 @@ def ml_log_cluster(spark, sf):
 
 @lru_cache(maxsize=8)
 def _clusters(app: str, sf: str) -> DataFrame:
-    return cut(L.cluster(A.logs(SparkSession.getActiveSession(), sf)))
+    return settled(L.cluster(A.logs(SparkSession.getActiveSession(), sf)))
 
 
 def clustered(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +294,7 @@ def ml_cluster_assign(spark, sf):
     """Clusters from the lines of the first four fifths of the time; every line is assigned."""
     logs = app_logs(spark, sf)
     border = F.lit(A.logs(spark, sf).agg(F.percentile_approx("timestamp", 0.8)).first()[0]).cast("timestamp_ntz")
-    clusters = cut(L.cluster(logs.filter(F.col("timestamp") < border)))
+    clusters = settled(L.cluster(logs.filter(F.col("timestamp") < border)))
     labels = L.pattern_summary(L.patterns(L.with_cluster(logs, clusters))).select("cluster_id", "label")
     return L.assign(logs, clusters, labels).select("id", "message", "cluster_id", "cluster_label", "is_new_pattern", "confidence")
 
@@ -359,7 +359,7 @@ def rpt_ml_context(spark, sf):
     """Clusters of the lines before the last day, the lines of the last day as predictions, the last duration as end value."""
     logs, border = A.logs(spark, sf), A.as_of(spark, sf) - timedelta(hours=24)
     late = F.col("timestamp") > F.lit(border).cast("timestamp_ntz")
-    clusters = cut(L.cluster(logs.filter(~late)))
+    clusters = settled(L.cluster(logs.filter(~late)))
     patterns = L.with_cluster(logs.filter(~late), clusters).filter("cluster_id <> -1").select("service", "cluster_id", "severity")
     predictions = L.assign(logs.filter(late), clusters).select("service", "is_new_pattern")
     forecasts = A.traces(spark, sf).select("service", F.lit("duration_ms").alias("metric"), F.struct("timestamp", "id").alias("step"), F.col("duration_ms").alias("value"))

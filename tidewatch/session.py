@@ -45,9 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut lineage by files in a new folder. A checkpoint keeps the size estimate of the plan that it replaces, so that loops over joins multiply
+    it without end; here the estimate is the size of the files."""
+    path = run_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast only when the optimizer's size estimate is under ``limit``; else leave a shuffle join."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:                                   # a product of joins with more digits than Python reads
+        return df
     return F.broadcast(df) if size <= limit else df
 
 
