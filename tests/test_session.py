@@ -28,3 +28,11 @@ def test_lines_are_assigned_where_clusters_take_rounds(spark):
     fresh = lines.withColumn("message", F.concat("message", F.lit(" other")))
     found = {r.is_new_pattern for r in L.assign(fresh, clusters).collect()}
     assert found <= {True, False} and None not in found
+
+
+def test_token_sets_are_not_copied_for_each_rare_token(spark):
+    texts = [(i, [f"{c}{(i * 7 + c * c) % 90}" for c in range(60)]) for i in range(200)]
+    t = spark.createDataFrame(texts, "id long, tokens array<string>")
+    rare = L.rare_tokens(t, L.token_counts(t), 0.6)
+    assert not [f for f in rare.schema.fields if f.dataType.simpleString().startswith("array")]
+    assert {r.k for r in rare.groupBy("id").agg(F.count("token").alias("k")).collect()} == {25}          # 60 - 36 + 1

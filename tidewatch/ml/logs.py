@@ -26,6 +26,7 @@ MIN_SAMPLES = 3
 MIN_SIMILARITY = 0.6
 LEVELS = 100                         # levels of distance between equal and wholly different templates
 BLOCK = 1000
+SKETCH = 4                           # words of 64 bits
 
 
 def template(message: Column) -> Column:
@@ -67,13 +68,30 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def rare_tokens(t: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """``id, tokens, token``: a row for each of the rarest tokens of a set. Two sets whose Jaccard coefficient is at least ``least`` share
-    one of these: the smaller share of a set that the other must hold leaves no more than the rest of it out."""
-    placed = t.select("id", "tokens", F.explode("tokens").alias("token")).join(broadcast_if_small(counts), "token")
-    ranked = placed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("c", "token"))).alias("_by"))
+    """``id, of, token``: a row for each of the rarest tokens of a set. Two sets whose Jaccard coefficient is at least ``least`` share
+    one of these: the smaller share of a set that the other must hold leaves no more than the rest of it out.
+
+    ``of`` stands for the set, which is not copied: its size ``n``, the place ``i`` of the token by rarity, and a sketch of four times 64 bits, each the
+    parity of the tokens that fall on it."""
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * SKETCH))
+    placed = t.select("id", F.explode("tokens").alias("token")).join(broadcast_if_small(counts), "token").withColumn("_bit", bit)
+    one = F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")
+    words = [F.bit_xor(F.when(F.floor(F.col("_bit") / 64) == k, one).otherwise(F.lit(0).cast("long"))).alias(f"_w{k}") for k in range(SKETCH)]
+    ranked = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("_by"), *words)
     n = F.size("_by")
     first = F.slice("_by", F.lit(1), F.least(n, n - F.ceil(n * least - 1e-9).cast("int") + 1))
-    return ranked.select("id", "tokens", F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+    out = ranked.select("id", n.alias("n"), *[f"_w{k}" for k in range(SKETCH)], F.posexplode(F.transform(first, lambda x: x["token"])).alias("i", "token"))
+    return out.select("id", F.struct("n", "i", *[f"_w{k}" for k in range(SKETCH)]).alias("of"), "token")
+
+
+def may_be_similar(a: str, b: str, least: float) -> Column:
+    """Whether two sets that share a token can have a Jaccard coefficient of at least ``least``, by their ``of``. True for all that have, at the first token they share:
+    no more than the rest of each set from there on is common, and no more bits differ than tokens do."""
+    a, b = F.col(a), F.col(b)
+    both = a["n"] + b["n"]
+    common = F.least(a["n"] - a["i"], b["n"] - b["i"])
+    apart = sum((F.bit_count(a[f"_w{k}"].bitwiseXOR(b[f"_w{k}"])) for k in range(SKETCH)), F.lit(0))
+    return (common * (1 + least) >= both * least - 1e-6) & (apart * (1 + least) <= both * (1 - least) + 1e-6)
 
 
 def token_counts(t: DataFrame) -> DataFrame:
@@ -89,15 +107,17 @@ def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 def similar_pairs(t: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """All links ``a, b, similarity`` (``b`` the smaller id) between templates with a Jaccard coefficient of at least ``least``, which is above 0.
 
-    Pairs that share one of their rare tokens are verified. The templates of a token meet in cells of about ``BLOCK`` by ``BLOCK``, so
-    that no task gets all the pairs of a full one."""
+    Pairs that share one of their rare tokens are verified, after their sizes and sketches have ruled most of them out. The templates of a token meet in
+    cells of about ``BLOCK`` by ``BLOCK``, so that no task gets all the pairs of a full one; the token sets are joined to what is left."""
     rare = settled(rare_tokens(t, token_counts(t), least))
     own = in_blocks(rare, rare)
-    left = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_own")))).select("token", F.col("_own").alias("_i"), F.col("_to").alias("_j"), F.col("id").alias("x"), F.col("tokens").alias("tx"))
-    right = own.withColumn("_from", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).select("token", F.col("_from").alias("_i"), F.col("_own").alias("_j"), F.col("id").alias("y"), F.col("tokens").alias("ty"))
+    left = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_own")))).select("token", F.col("_own").alias("_i"), F.col("_to").alias("_j"), F.col("id").alias("x"), F.col("of").alias("ox"))
+    right = own.withColumn("_from", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1))).select("token", F.col("_from").alias("_i"), F.col("_own").alias("_j"), F.col("id").alias("y"), F.col("of").alias("oy"))
     apart = (F.col("_i") != F.col("_j")) | (F.col("x") > F.col("y"))
-    links = left.join(right, ["token", "_i", "_j"]).filter(apart).withColumn("similarity", jaccard(F.col("tx"), F.col("ty"))).filter(F.col("similarity") >= least)
-    return links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "similarity").distinct()
+    met = left.join(right, ["token", "_i", "_j"]).filter(apart & may_be_similar("ox", "oy", least))
+    met = settled(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    links = met.join(t.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return links.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).filter(F.col("similarity") >= least).distinct()
 
 
 def template_id(t: str = "template") -> Column:
@@ -165,9 +185,11 @@ def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None =
     new = fresh.join(known, "template", "left_anti").withColumn("id", F.col("template"))
     counts = settled(token_counts(old.select("tokens").unionByName(new.select("tokens"))))
     offers = settled(rare_tokens(old, counts, least))
-    parts = in_blocks(offers, offers).select("token", F.col("_own").alias("_i"), F.col("id.cluster_id").alias("cluster_id"), F.col("tokens").alias("other"))
-    asked = in_blocks(rare_tokens(new, counts, least), offers).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.col("id").alias("template"), "tokens", "token", "_i")
-    close = asked.join(parts, ["token", "_i"]).withColumn("confidence", jaccard(F.col("tokens"), F.col("other"))).filter(F.col("confidence") >= least)
+    parts = in_blocks(offers, offers).select("token", F.col("_own").alias("_i"), F.col("id").alias("near"), F.col("of").alias("oy"))
+    asked = in_blocks(rare_tokens(new, counts, least), offers).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(F.col("id").alias("template"), F.col("of").alias("ox"), "token", "_i")
+    met = settled(asked.join(parts, ["token", "_i"]).filter(may_be_similar("ox", "oy", least)).select("template", "near").distinct())
+    sets = met.join(new.select("template", "tokens"), "template").join(old.select(F.col("id").alias("near"), F.col("tokens").alias("other")), "near")
+    close = sets.select("template", F.col("near.cluster_id").alias("cluster_id"), jaccard(F.col("tokens"), F.col("other")).alias("confidence")).filter(F.col("confidence") >= least)
     best = close.groupBy("template").agg(F.max_by(F.struct("cluster_id", "confidence"), F.struct("confidence", "cluster_id")).alias("b")).select("template", "b.*")
     found = exact.unionByName(best)
     out = logs.join(broadcast_if_small(settled(found)), "template", "left").withColumns({
