@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 256
@@ -21,9 +21,8 @@ def value_counts(df: DataFrame, value: str, **sums: Column) -> DataFrame:
 
 def with_cumulative(counted: DataFrame, measures: Sequence[str] = ("n",), buckets: int = BUCKETS) -> DataFrame:
     """Add ``<m>_before``: the sum of measure ``m`` over all smaller values, for one row per value ``v``."""
-    spread = QuantileDiscretizer(
-        numBuckets=buckets, inputCol="v", outputCol="_b", relativeError=0.001, handleInvalid="keep",
-    ).fit(counted).transform(counted)
+    inner = sorted(set(counted.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.001))) or [0.0]      # none where no row has a value
+    spread = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="v", outputCol="_b", handleInvalid="keep").transform(counted)
     totals = spread.groupBy("_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # at most `buckets` rows: the only window here without a partition key
