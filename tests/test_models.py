@@ -33,3 +33,27 @@ def test_oversampling_of_classes_of_any_size(spark):
             assert 5 <= x <= 7 and abs(z - 2 * (x - 5)) < 1e-9
         if r.y == 2.0:
             assert (x, z) == (9.0, 9.0)
+
+
+def test_models_of_metrics_without_a_normal_sequence(spark, tmp_path):
+    from tidewatch.constants import FEATURES
+    from tidewatch.ml import pipeline as P
+    from tidewatch.operators import windows as W
+
+    rng = np.random.default_rng(4)
+    rows = [("s", i, "spike" if i < 60 else "normal", *map(float, rng.uniform(1, 2, len(FEATURES)))) for i in range(70)]
+    wide = spark.createDataFrame(rows, "service string, at long, label string, " + ", ".join(f"{f} double" for f in FEATURES)).withColumn("timestamp", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    windows = W.slide_rows(wide, 60, 5)
+    forest, rec = P.fit_anomaly(wide, W.rich_stats(windows))
+    assert rec.threshold is None and [r[0] for r in W.sequences(rec.scaler.transform(wide)).select(rec.error()).distinct().collect()] == [None]
+    rec.save(spark, str(tmp_path / "r"))
+    again = type(rec).load(spark, str(tmp_path / "r"))
+    for m in (rec, again):
+        out = P.score_windows(P.Models(forest, m, None, None), windows).collect()
+        assert len(out) == 3 and {r.lstm_score for r in out} == {0.0} and all(0 <= r.if_score <= 1 for r in out)
+
+
+def test_threshold_without_a_normal_row(spark):
+    from tidewatch.ml.reconstruction import normal_threshold
+
+    assert [r.threshold for r in normal_threshold(spark.createDataFrame([(0.5, 1)], "error double, is_anomaly int")).collect()] == [None]

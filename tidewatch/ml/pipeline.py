@@ -71,7 +71,7 @@ def retrain(wide: DataFrame, windows: DataFrame, rich: DataFrame, least: int = 1
 def score_windows(models: Models, windows: DataFrame) -> DataFrame:
     """``window_id, service, if_score, lstm_score, anomaly_score, is_anomaly, details`` for windows of metric rows.
 
-    The sequence of a window is its last thirty rows.
+    The sequence of a window is its last thirty rows. Its score is 0 where the sequence model had nothing normal to learn from.
     """
     stats = W.base_stats(windows)
     scores = models.forest.transform(stats.select("window_id", *models.forest.columns))
@@ -79,7 +79,7 @@ def score_windows(models: Models, windows: DataFrame) -> DataFrame:
     tail = rec.scaler.transform(windows.filter(F.col("i") >= W.WINDOW_ROWS - W.SEQUENCE_ROWS))
     seq = tail.groupBy("window_id", "service").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.array(*FEATURES).alias("v")))), lambda r: r["v"]).alias("seq"))
     err = seq.select("window_id", "service", rec.error().alias("error"))
-    both = err.join(scores, "window_id").withColumn("lstm_score", sequence_score(F.col("error"), F.lit(rec.threshold)))
+    both = err.join(scores, "window_id").withColumn("lstm_score", sequence_score(F.col("error"), F.lit(rec.threshold).cast("double")))
     return ensemble(both).select("window_id", "service", "if_score", "lstm_score", "anomaly_score", "is_anomaly", "details")
 
 

@@ -21,14 +21,19 @@ class Reconstruction:
     scaler: Scaler | None = None
     mean: np.ndarray | None = None
     components: np.ndarray | None = None
-    threshold: float = 0.0
+    threshold: float | None = 0.0
 
     def fit(self, normal: DataFrame, scaler: Scaler, latent: int = LATENT_DIM) -> "Reconstruction":
-        """``normal``: column ``seq`` of scaled normal sequences. The covariance is summed over tasks; its size is fixed."""
+        """``normal``: column ``seq`` of scaled normal sequences. The covariance is summed over tasks; its size is fixed.
+
+        Without any there is nothing to learn: errors and threshold are null then."""
         flat = normal.select(F.flatten("seq").alias("x"))
         width = F.posexplode("x").alias("i", "v")
         means = flat.select(width).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").toPandas()
-        self.scaler, self.mean = scaler, means.m.values
+        self.scaler, self.mean, self.components = scaler, None, None
+        if not len(means):
+            return self
+        self.mean = means.m.values
         model = PCA(k=min(latent, len(self.mean)), inputCol="vec", outputCol="z").fit(flat.select(array_to_vector("x").alias("vec")))
         self.components = model.pc.toArray()
         return self
@@ -36,6 +41,8 @@ class Reconstruction:
     def error(self, seq: str = "seq") -> Column:
         """Mean squared residual of a sequence column."""
         mean, comp = self.mean, self.components
+        if mean is None:
+            return F.lit(None).cast("double")
 
         @F.pandas_udf("double")
         def mse(x: pd.Series) -> pd.Series:
@@ -52,16 +59,18 @@ class Reconstruction:
         return self
 
     def save(self, spark: SparkSession, path: str) -> None:
-        row = (self.scaler.columns, self.scaler.mean, self.scaler.scale, self.mean.tolist(), self.components.ravel().tolist(), self.components.shape[1], float(self.threshold))
+        fitted = (None, None, None) if self.mean is None else (self.mean.tolist(), self.components.ravel().tolist(), self.components.shape[1])
+        row = (self.scaler.columns, self.scaler.mean, self.scaler.scale, *fitted, None if self.threshold is None else float(self.threshold))
         schema = "columns array<string>, center array<double>, scale array<double>, mean array<double>, components array<double>, k int, threshold double"
         spark.createDataFrame([row], schema).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Reconstruction":
         r = spark.read.parquet(path).first()
-        return cls(Scaler(list(r["columns"]), list(r["center"]), list(r["scale"])), np.array(r["mean"]), np.array(r["components"]).reshape(-1, r["k"]), r["threshold"])
+        fitted = (None, None) if r["mean"] is None else (np.array(r["mean"]), np.array(r["components"]).reshape(-1, r["k"]))
+        return cls(Scaler(list(r["columns"]), list(r["center"]), list(r["scale"])), *fitted, r["threshold"])
 
 
 def normal_threshold(errors: DataFrame, label: str = "is_anomaly", error: str = "error", q: float = ERROR_PERCENTILE) -> DataFrame:
-    """Single row: the percentile of the errors of normal sequences."""
+    """Single row: the percentile of the errors of normal sequences, null without any."""
     return exact_percentiles(errors.filter(F.col(label) == 0), error, [q]).toDF("threshold")

@@ -341,7 +341,7 @@ def ml_model_io(spark, sf):
 def ml_retrain(spark, sf):
     wide, windows, rich = inputs(spark, sf)
     forest, rec, cause = P.retrain(wide, rich, rich)
-    return forest.transform(rich).select("window_id", "if_score", "is_outlier", F.lit(cause is not None).alias("cause_retrained"), F.lit(float(rec.threshold)).alias("threshold"))
+    return forest.transform(rich).select("window_id", "if_score", "is_outlier", F.lit(cause is not None).alias("cause_retrained"), F.lit(rec.threshold).cast("double").alias("threshold"))
 
 
 CONTEXT_ID = "CAST('0x' || SUBSTR(MD5(template), 1, 15) AS BIGINT)"
