@@ -4,7 +4,8 @@ Equal vectors of a class are one point with its smallest ids, so copies never me
 cut at the widest gap in the middle of a bounded sample of each node, until no leaf holds more than ``leaf`` points; a round goes down five levels. Points meet in their leaves, one leaf a group, and the best lists of all trees are merged.
 
 For an exact answer the leaves of the first tree are parted into compact balls. The distance to the k-th neighbour found so far bounds where a better one can lie: pairs
-of (leaf, node) go down the tree of balls as long as they can hold one, then each point looks only into the balls that its own bound reaches.
+of (leaf, node) go down the tree of balls as long as they can hold one, then each point looks only into the balls that its own bound
+reaches; it is sent once to a bucket of leaves, with the list of those.
 """
 from __future__ import annotations
 
@@ -23,7 +24,8 @@ from tidewatch.session import broadcast_if_small, run_dir
 
 LEAF, TREES, SAMPLE, LEVELS = 256, 4, 1536, 5
 TRIED = 16                           # directions tried for each cut
-GROUP = 1500                         # points that look into one leaf at a time
+GROUP = 1500
+BUCKET = 4 * GROUP                   # points of a bucket of leaves, and points that look into it at a time
 NODE = ["y", "tree", "node"]
 POINTS = "y int, tree int, node long, gid string, x array<double>"
 FOUND = "y int, gid string, d double, other string"
@@ -198,11 +200,11 @@ def _reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             gap = _distance(batch.x, batch.center)
-            yield batch[gap <= (batch.reach + batch.radius) * (1 + 1e-9)][["y", "node", "gid", "x", "chunk"]]
+            yield batch[gap <= (batch.reach + batch.radius) * (1 + 1e-9)][["y", "node", "gid"]]
 
 
 def visits(tree: DataFrame, bound: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(``y, node, gid, x, chunk`` points that have to look into a leaf, ``y, node, chunk, gid, x`` the leaf's points for each chunk of lookers).
+    """(``y, node, gid``: points that have to look into a leaf, ``y, node, gid, x``: the points of the leaves).
 
     ``tree``: the first tree's leaves (y, node, gid, x); ``bound``: y, gid, reach, the distance a better neighbour must stay under.
     """
@@ -233,15 +235,40 @@ def visits(tree: DataFrame, bound: DataFrame, folder: str) -> tuple[DataFrame, D
         found.append(pairs.where("last AND leaf != node").select("y", "leaf", "node"))
         pairs = pairs.where("NOT last")
     if not found:
-        return own.select("y", "node", "gid", "x", F.lit(0).alias("chunk")).limit(0), own.select("y", "node", F.lit(0).alias("chunk"), "gid", "x").limit(0)
+        return own.select("y", "node", "gid").limit(0), tree.limit(0)
     meet = written(reduce(DataFrame.unionByName, found), "meet")
-    asked = meet.join(balls[0].select("y", F.col("node").alias("leaf"), F.col("n").alias("askers")), ["y", "leaf"]).groupBy("y", "node").agg(F.ceil(F.sum("askers") / GROUP).cast("int").alias("chunks"))
-    asked = written(asked, "asked")
-    targets = meet.join(balls[0].select("y", "node", "center", "radius"), ["y", "node"]).join(asked, ["y", "node"])
-    looks = own.withColumnRenamed("node", "leaf").join(targets, ["y", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int"))
-    looks = written(looks.select("y", "node", "gid", "x", "reach", "center", "radius", "chunk").mapInPandas(_reached, "y int, node long, gid string, x array<double>, chunk int"), "looks")
-    needed = written(looks.select("y", "node", "chunk").distinct(), "needed")
-    return looks, tree.select("y", "node", "gid", "x").join(needed, ["y", "node"]).select("y", "node", "chunk", "gid", "x")
+    targets = meet.join(balls[0].select("y", "node", "center", "radius"), ["y", "node"])
+    looks = own.withColumnRenamed("node", "leaf").join(targets, ["y", "leaf"])
+    return written(looks.select("y", "node", "gid", "x", "reach", "center", "radius").mapInPandas(_reached, "y int, node long, gid string"), "looks"), tree
+
+
+def _look(k: int):
+    """The k nearest of the points that have to look into leaves of a bucket, each among the points of its leaves."""
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"y": pd.Series(dtype="int32"), "gid": pd.Series(dtype=object), "d": pd.Series(dtype=float), "other": pd.Series(dtype=object)})]
+        if len(a) and len(b):
+            who = np.repeat(np.arange(len(a)), a.nodes.map(len).values)
+            lookers = pd.Series(who).groupby(np.concatenate(a.nodes.values)).indices
+            found = pd.concat([nearest(a.iloc[who[lookers[node]]], points, k) for node, points in b.groupby("node") if node in lookers] or out)
+            found = found.sort_values(["gid", "d", "other"])
+            out.append(found[found.groupby("gid").cumcount() < k].assign(y=a.y.iloc[0]))
+        return pd.concat([o for o in out if len(o)] or out)[["y", "gid", "d", "other"]]
+    return run
+
+
+def looked(looks: DataFrame, tree: DataFrame, k: int, folder: str) -> DataFrame:
+    """``y, gid, d, other``: what ``looks`` find in the leaves of ``tree``. Leaves are dealt into buckets of about ``BUCKET`` points; a point goes to a bucket once, with
+    the list of its leaves there, and comes back with its k best."""
+    spark = tree.sparkSession
+    buckets = tree.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("_b"))
+    dealt = lambda df: df.join(broadcast_if_small(buckets), "y").withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")).drop("_b")
+    dealt(looks).groupBy("y", "bucket", "gid").agg(F.collect_list("node").alias("nodes")).write.parquet(f"{folder}/lists")
+    lists = spark.read.parquet(f"{folder}/lists")
+    chunks = lists.groupBy("y", "bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("chunks"))
+    askers = lists.join(tree.select("y", "gid", F.col("x").alias("x")), ["y", "gid"]).join(broadcast_if_small(chunks), ["y", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int"))
+    points = dealt(tree).join(broadcast_if_small(chunks), ["y", "bucket"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = askers.select("y", "bucket", "chunk", "gid", "x", "nodes").groupBy("y", "bucket", "chunk")
+    return asked.cogroup(points.select("y", "bucket", "chunk", "node", "gid", "x").groupBy("y", "bucket", "chunk")).applyInPandas(_look(k), FOUND)
 
 
 def pair_count(points: DataFrame, *keys: str, lookers: DataFrame | None = None) -> int:
@@ -280,14 +307,8 @@ def nearest_same_class(rows: DataFrame, ident: str, k: int = 5, label: str = "y"
         bound = groups.select("y", "gid").join(reach, ["y", "gid"], "left").select("y", "gid", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         looks, points = visits(first, bound, folder)
         if measured is not None:
-            measured["balls"] = pair_count(points, "y", "node", "chunk", lookers=looks)
-
-        def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"y": pd.Series(dtype="int32"), "gid": pd.Series(dtype=object), "d": pd.Series(dtype=float), "other": pd.Series(dtype=object)})
-            return nearest(a, b, k).assign(y=a.y.iloc[0])[["y", "gid", "d", "other"]]
-
-        more = looks.groupBy("y", "node", "chunk").cogroup(points.groupBy("y", "node", "chunk")).applyInPandas(look, FOUND)
+            measured["balls"] = pair_count(points, "y", "node", lookers=looks)
+        more = looked(looks, points, k, folder)
         best = written(_best(best.select("y", "gid", "d", "other").unionByName(more), k), "second")
     # from points back to rows: first the copies of the row, then the members of the other points
     near = best.join(groups.select("y", F.col("gid").alias("other"), F.col("ids").alias("others"), F.col("x").alias("there")), ["y", "other"])
