@@ -86,3 +86,10 @@ def test_new_points_lie_between_two_rows_of_their_class(spark):
         t = (way @ step) / length
         off = np.sqrt((((way * t[:, None]) - step) ** 2).sum(1))
         assert ((off < 1e-9) & (t > -1e-12) & (t < 1 + 1e-12)).any()
+
+
+def test_several_buckets_of_leaves_in_a_class(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET", 150)
+    x, y = np.random.default_rng(8).normal(size=(700, 6)), np.arange(700) % 4 // 3
+    got = {r.id: [n.id for n in r.neighbours] for r in N.nearest_same_class(table(spark, x, y), "id", 3, leaf=64, trees=1).collect()}
+    assert got == {i: [j for j, _ in near] for i, near in plain(x, y, 3).items()}
