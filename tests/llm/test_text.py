@@ -81,6 +81,22 @@ def test_rows_that_share_a_doc_id_are_compared_each_with_its_own_text(spark):
     assert {(i, c) for i, n, c in got if n} == {(10, 3), (3, 3), (7, 3), (8, 8), (12, 8)} and sum(got.values()) == len(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_meet_only_sizes_that_can_be_similar(spark, percent):
+    rng = random.Random(percent)
+    # Key 0: a segment without shingles holds all sets of a band, but no probe may be similar to the small ones.
+    rows = [(0, i, 363 + i % 60, jaccard.INDEX) for i in range(300)] + [(0, 900, 720, jaccard.PROBE), (0, 901, 577, jaccard.INDEX)]
+    rows += [(k, i, rng.randrange(1, 60), rng.choice([1, 2, 4, 5, 8, 10, 15])) for k in range(1, 80) for i in range(rng.randrange(1, 9))]
+    want = set()
+    for k, i, n, r in rows:
+        for l, j, m, q in rows:
+            if k == l and i != j and r & 12 and q & 3 and m <= n and 100 * m >= percent * n:
+                want |= {(k, i), (k, j)}
+    got = jaccard._meeting(spark.createDataFrame(rows, "key long, row long, size int, role byte"), percent).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert len(rows) > len(want) + 300 and sum(k == 0 for k, _ in want) == (2 if percent == 80 else 0)
+
+
 def test_plans_cover_all_differences():
     for percent in (80, 85, 95):
         for size in [*range(1, 60), 100, 777, 5000]:
@@ -145,6 +161,17 @@ def test_mixture(spark):
     assert Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in copies.collect()) == +want
 
 
+def test_copies_shuffle_texts_once(spark):
+    rows = [(1, "a b c", "s"), (None, "a b", None), (None, "a b", None), (2, None, "s"), (2, "", "s"), (3, "x y z", None)]
+    copies = take_copies(documents(spark, rows))
+    above = copies._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+    assert "Window" in above and "Exchange" not in above
+    taken = Counter()
+    for r in mix_sources(documents(spark, rows)).collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in copies.collect()) == +taken
+
+
 def test_personal_data(spark):
     rng = random.Random(5)
     bits = ["a@b.c", "x.y+z@d-e.fr.", "@", "1.2.3.4", "256.1.1.1.7", "001.02.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "+", "5", " ", "-", ".", "é", "😀", "\n",

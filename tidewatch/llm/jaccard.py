@@ -6,8 +6,8 @@ more or less), and the sum of l(i) + 1 exceeds the possible number of difference
 ``_plan`` sets, for each band, how many segments there are and how many of them allow one difference, at the least cost of signatures and
 chance meetings; ``_probes`` drops from each document the segments it can spare, those with the fewest shingles first, as they meet most.
 
-Signatures are grouped by key. The member of a key's group that meets most others over all keys is its center, so that the copies of a text
-have few centers between them. Each document is first compared with the center that it meets most often; members of the components found
+Signatures are grouped by key; those that meet none of a size that a similar set can have are left out. The member of a key's group that meets
+most others over all keys is its center, so that the copies of a text have few centers between them. Each document is first compared with the center that it meets most often; members of the components found
 that way need no further comparison. A center's members are then all that share a key of which it is the center, which covers every pair that
 meets. Where they belong to several components, those outside the largest one are compared with all others in blocks of bounded size. That
 comparison uses parity sketches: a set of n shingles has 4n to 8n bits, each the parity of the shingles that hash to it, so two sketches differ
@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm.graph import components
 from tidewatch.llm.memory import releasing
@@ -305,12 +305,8 @@ def _groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame
 
     documents = 1 << max(first.count(), 1).bit_length()
     signatures = docs.mapInArrow(releasing(_signatures(width, percent, documents)), "key long, row long, size int, role byte")
-    by_key = Window.partitionBy("key").orderBy("size", "row")
-    centred = signatures.withColumn("center", F.first("row").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    centred = centred.withColumn("more", F.lead("row").over(by_key)).where("more IS NOT NULL OR center != row").drop("more")
-    groups = kept(centred.select("key", "row", "role"), "groups")          # only keys with several rows
-    probed = groups.where(f"role & {PROBE | PROBE_LESS} > 0").select("key").distinct()
-    rows = groups.join(probed, "key", "left_semi").join(rep_of, "row").select("key", "rep").distinct()
+    groups = kept(_meeting(signatures, percent), "groups")
+    rows = groups.join(rep_of, "row").select("key", "rep").distinct()
     meets = rows.groupBy("rep").agg(F.count("*").alias("meets"))
     rows = rows.join(meets, "rep")
     centers = rows.groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("center"))
@@ -334,6 +330,19 @@ def _groups(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame
     return linked.withColumn("low", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))) if by_id else linked
 
 
+def _meeting(signatures: DataFrame, percent: int) -> DataFrame:
+    """(key, row) of the signatures that meet another in their key which may be similar by its size. Of two similar sets the larger one probes, so
+    a probe needs an indexed set of ``percent``/100 of its size up to its own, and the other way round. Without this the segments that hold no
+    shingle bring together whatever shares a band."""
+    parts = {"index": INDEX | INDEX_LESS, "probe": PROBE | PROBE_LESS}
+    sized = signatures.select("key", "row", "size", *[F.expr(f"if(role & {bits} > 0, size, null)").alias(name) for name, bits in parts.items()])
+    ordered = "IGNORE NULLS OVER (PARTITION BY key ORDER BY size, row)"
+    sized = sized.select("*", *[F.expr(f"{step}({name}) {ordered}").alias(f"{step}_{name}") for step in ("lag", "lead") for name in parts])
+    probes = f"probe IS NOT NULL AND (lag_index * 100L >= size * {percent}L OR lead_index = size)"
+    probed = f"index IS NOT NULL AND (lead_probe * {percent}L <= size * 100L OR lag_probe = size)"
+    return sized.where(f"({probes}) OR ({probed})").select("key", "row")
+
+
 def _across(star: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of a center's members in different components that their sketches do not rule out; with ``nearest`` one for each document and
     other component."""

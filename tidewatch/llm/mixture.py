@@ -83,13 +83,11 @@ def take_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as ``mix_sources`` takes it. Copies of rows that are equal in doc_id, source and text are
     dealt out evenly among them."""
     mark = {"mark": F.xxhash64("text")}
-    same = ["doc_id", "source", "mark"]
-    doc_id, source, text_mark, copies, rows, times, time = free(docs, "d_doc_id", "d_source", "d_mark", "d_copies", "d_rows", "d_times", "d_time")
-    drawn = mix_sources(docs, also=mark, **options).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    drawn = drawn.where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("mark").alias(text_mark),
-                                             F.col("copies").alias(copies), F.col("rows").alias(rows))
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(text_mark)))
-    turn = F.row_number().over(Window.partitionBy(doc_id, source, text_mark).orderBy(F.lit(0)))
+    same, copies, rows, times, time = free(docs, "d_same", "d_copies", "d_rows", "d_times", "d_time")
+    drawn = mix_sources(docs, also=mark, **options).groupBy(F.struct("doc_id", "source", "mark").alias(same)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    # One column is the key of the join and of the window, so that texts are shuffled once.
+    joined = docs.withColumn(same, F.struct("doc_id", "source", F.xxhash64("text").alias("mark"))).join(drawn.where(F.col(copies) > 0), same)
+    turn = F.row_number().over(Window.partitionBy(same).orderBy(F.lit(0)))
     each = F.expr(f"`{copies}` div `{rows}`") + F.when(turn <= F.col(copies) % F.col(rows), 1).otherwise(0)
     joined = joined.withColumn(times, each).where(F.col(times) > 0)
     return joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
