@@ -43,7 +43,7 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int,
             nodes[at][4] = depth + path_norm(len(rows))
             continue
         f = int(rng.choice(usable))
-        t = float(rng.uniform(low[f], high[f]))
+        t = max(float(rng.uniform(low[f], high[f])), float(np.nextafter(low[f], high[f])))         # above the lowest, so that no side is empty
         side = part[:, f] < t
         left, right = len(nodes), len(nodes) + 1
         nodes[at][:4] = [f, t, left, right]

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.series import micros, row_frames, with_position
+from tidewatch.functions.series import floor_ts, micros, row_frames, with_last, with_position
 from tidewatch.ml.density import density_clusters
 from tidewatch.session import broadcast_if_small, settled
 
@@ -153,17 +153,19 @@ def patterns(logs: DataFrame, cid: str = "cluster_id", order: Sequence[str] = ("
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(cid).orderBy(F.desc("c"), "token"))).filter("_r <= 10")
     common = top.join(sizes.select(cid, "size"), cid).filter(F.col("c") > F.col("size") * 0.3)
     words = common.groupBy(cid).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_r", "token"))), lambda x: x["token"]), 1, 8).alias("pattern_keywords"))
-    tally = lambda c, name: rows.groupBy(cid, c).agg(F.count(F.lit(1)).alias("n")).groupBy(cid).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(name))
+    tally = lambda c, name: rows.filter(F.col(c).isNotNull()).groupBy(cid, c).agg(F.count(F.lit(1)).alias("n")).groupBy(cid).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(name))
     early = rows.withColumn("_r", F.row_number().over(Window.partitionBy(cid).orderBy(*order))).filter("_r <= 3")
     examples = early.groupBy(cid).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "message"))), lambda x: x["message"]).alias("examples"))
-    out = sizes.join(words, cid, "left").join(tally("severity", "severity_distribution"), cid).join(tally("service", "service_distribution"), cid).join(examples, cid)
-    return out.withColumn("pattern_keywords", F.coalesce("pattern_keywords", F.array().cast("array<string>")))
+    out = sizes.join(words, cid, "left").join(tally("severity", "severity_distribution"), cid, "left").join(tally("service", "service_distribution"), cid, "left").join(examples, cid)
+    none = F.create_map().cast("map<string,bigint>")
+    return out.withColumns({"pattern_keywords": F.coalesce("pattern_keywords", F.array().cast("array<string>")),
+                            **{c: F.coalesce(c, none) for c in ("severity_distribution", "service_distribution")}})
 
 
 def pattern_label() -> Column:
-    """``SEVERITY: kw kw kw`` with the most frequent severity (ties to the first by name)."""
+    """``SEVERITY: kw kw kw`` with the most frequent severity (ties to the first by name); ``unknown`` without any."""
     entries = F.transform(F.map_entries("severity_distribution"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k")))
-    return F.concat(F.array_min(entries)["k"], F.lit(": "), F.array_join(F.slice("pattern_keywords", 1, 3), " "))
+    return F.coalesce(F.concat(F.array_min(entries)["k"], F.lit(": "), F.array_join(F.slice("pattern_keywords", 1, 3), " ")), F.lit("unknown"))
 
 
 def pattern_summary(p: DataFrame, cid: str = "cluster_id") -> DataFrame:
@@ -199,6 +201,31 @@ def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None =
     return out.drop("template")
 
 
+def window_patterns(lines: DataFrame, windows: DataFrame, summary: DataFrame, seconds: int = 3600) -> DataFrame:
+    """``service, window_id, log_lines, new_patterns_detected, log_patterns``: the patterns of the lines of each window's service and time, by cluster id.
+
+    ``lines``: service, timestamp, severity and ``cluster_id``, as ``assign`` gives it; ``windows``: window_id, service, timestamp, a row per step of ``seconds``;
+    ``summary``: cluster_id, label, size. A line is in a window if its step is not before the first nor after the last of the window, also where the metrics have
+    a gap, so in as many windows as overlap there. Lines in no window are together in a row of their service without ``window_id``.
+
+    Lines are counted per step and cluster first; only the counts meet the windows, at the last step with metrics that is not after their own.
+    """
+    step = floor_ts("timestamp", seconds)
+    counts = settled(lines.groupBy("service", step.alias("at"), "cluster_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("severity") == "ERROR").alias("errors")))
+    spans = settled(windows.groupBy("service", "window_id").agg(F.collect_set(step).alias("_steps"), F.max(step).alias("_end")).select("service", "window_id", "_end", F.explode("_steps").alias("_row")))
+    marks = spans.select("service", F.col("_row").alias("at"), F.col("_row")).unionByName(counts.select("service", "at", F.lit(None).cast("timestamp_ntz").alias("_row")))
+    rows = with_last(marks.groupBy("service", "at").agg(F.max("_row").alias("_own")), ["service"], ["at"], "at", "_own", "_row").select("service", "at", "_row")
+    placed = counts.join(rows, ["service", "at"], "left").alias("c")
+    inside = (F.col("c.service") == F.col("w.service")) & (F.col("c._row") == F.col("w._row")) & (F.col("c.at") <= F.col("w._end"))
+    met = placed.join(spans.alias("w"), inside, "left").groupBy("c.service", "w.window_id", "c.cluster_id").agg(F.sum("c.lines").alias("lines"), F.sum("c.errors").alias("errors"))
+    named = met.join(broadcast_if_small(summary.select("cluster_id", "label", "size")), "cluster_id", "left")
+    new = F.col("cluster_id") == -1
+    pattern = F.struct("cluster_id", "label", "size", "lines", "errors")
+    return named.groupBy("service", "window_id").agg(
+        F.sum("lines").alias("log_lines"), F.sum(F.when(new, F.col("lines")).otherwise(0)).alias("new_patterns_detected"),
+        F.array_sort(F.collect_list(F.when(~new, pattern))).alias("log_patterns"))
+
+
 # ---- incident sequences -----------------------------------------------------
 # -- fixed values: recognised steps and the ordered sequences of known incidents --
 STEPS = [

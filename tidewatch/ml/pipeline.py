@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.constants import FEATURES
+from tidewatch.ml import logs as L
 from tidewatch.ml import rootcause
 from tidewatch.ml.ensemble import ensemble, sequence_score
 from tidewatch.ml.forecast import RidgeForecaster, alerts_of
@@ -15,7 +16,7 @@ from tidewatch.ml.iforest import IsolationForest
 from tidewatch.ml.reconstruction import Reconstruction
 from tidewatch.operators import windows as W
 from tidewatch.operators.reports import model_report
-from tidewatch.session import cut
+from tidewatch.session import cut, settled
 
 
 @dataclass
@@ -83,8 +84,13 @@ def score_windows(models: Models, windows: DataFrame) -> DataFrame:
     return ensemble(both).select("window_id", "service", "if_score", "lstm_score", "anomaly_score", "is_anomaly", "details")
 
 
-def full_analysis(models: Models, windows: DataFrame) -> DataFrame:
-    """One report row per window: anomaly and forecast for all, root cause for the anomalous ones only."""
+def full_analysis(models: Models, windows: DataFrame, logs: DataFrame, clusters: DataFrame, seconds: int = 3600) -> DataFrame:
+    """One report row per service and window: anomaly and forecast for all, root cause for the anomalous ones only, log patterns of the service in the
+    window's time (see ``logs.window_patterns``). Lines that are in no window have one row per service, without ``window_id`` and outputs of the metric models.
+
+    ``logs``: id, timestamp, service, message, severity; every line with a message is assigned to a known pattern or is a new one. ``clusters``: templates as
+    ``logs.cluster`` gives them. The rows of a window are steps of ``seconds``.
+    """
     keys = ["window_id"]
     scored = cut(score_windows(models, windows))
     fc = models.forecaster
@@ -98,4 +104,8 @@ def full_analysis(models: Models, windows: DataFrame) -> DataFrame:
     else:
         empty = "array<struct<cause:string,probability:double>>"
         out = out.withColumns({"predicted_cause": F.lit(None).cast("string"), "cause_confidence": F.lit(None).cast("double"), "top_causes": F.lit(None).cast(empty)})
-    return model_report(out)
+    summary = settled(L.pattern_summary(L.patterns(L.with_cluster(logs, clusters))).select("cluster_id", "label", "size"))
+    found = L.window_patterns(L.assign(logs.filter("message IS NOT NULL"), clusters), windows, summary, seconds)
+    none = {"log_lines": F.lit(0), "new_patterns_detected": F.lit(0), "log_patterns": F.array().cast(found.schema["log_patterns"].dataType)}
+    out = out.join(found, ["service", "window_id"], "full").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    return model_report(out.join(F.broadcast(summary.agg(F.count(F.lit(1)).alias("total_patterns")))))        # one row
