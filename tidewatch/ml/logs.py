@@ -180,7 +180,7 @@ def assign(messages: DataFrame, clusters: DataFrame, labels: DataFrame | None =
     Adds ``cluster_id`` (-1 for a new pattern), ``confidence`` and ``is_new_pattern``. Only distinct templates are matched.
     """
     logs = messages.withColumn("template", template(F.col("message")))
-    fresh = logs.select("template").distinct().withColumn("tokens", tokens_of())
+    fresh = settled(logs.select("template").distinct()).withColumn("tokens", tokens_of())
     known = clusters.filter("cluster_id <> -1").select("template", "cluster_id")
     exact = fresh.join(known, "template").select("template", "cluster_id", F.lit(1.0).alias("confidence"))
     old = known.withColumn("tokens", tokens_of()).withColumn("id", F.struct("cluster_id", "template"))

@@ -104,8 +104,9 @@ def full_analysis(models: Models, windows: DataFrame, logs: DataFrame, clusters:
     else:
         empty = "array<struct<cause:string,probability:double>>"
         out = out.withColumns({"predicted_cause": F.lit(None).cast("string"), "cause_confidence": F.lit(None).cast("double"), "top_causes": F.lit(None).cast(empty)})
-    summary = settled(L.pattern_summary(L.patterns(L.with_cluster(logs, clusters))).select("cluster_id", "label", "size"))
-    found = L.window_patterns(L.assign(logs.filter("message IS NOT NULL"), clusters), windows, summary, seconds)
+    known = settled(L.with_cluster(logs, clusters).select("id", "timestamp", "service", "severity", "message", "cluster_id"))         # read five times
+    summary = settled(L.pattern_summary(L.patterns(known)).select("cluster_id", "label", "size"))
+    found = settled(L.window_patterns(L.assign(logs.filter("message IS NOT NULL"), clusters), windows, summary, seconds))
     none = {"log_lines": F.lit(0), "new_patterns_detected": F.lit(0), "log_patterns": F.array().cast(found.schema["log_patterns"].dataType)}
     out = out.join(found, ["service", "window_id"], "full").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     return model_report(out.join(F.broadcast(summary.agg(F.count(F.lit(1)).alias("total_patterns")))))        # one row
